@@ -56,7 +56,7 @@ WITH docs AS (
 ), split AS (
   SELECT rid, doc_id, lang, source, text,
          regexp_extract_all(text, '[^ \t\n\x0B\x0C\r]+') AS words,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^ \t\n\x0B\x0C\r]')) AS lines
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\x0C\r]')) AS lines
   FROM docs
 ), pos AS (
   SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM split WHERE len(words) >= 3
