@@ -59,9 +59,11 @@ WITH docs AS (
          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\x0C\r]')) AS lines
   FROM docs
 ), pos AS (
-  SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM split WHERE len(words) >= 3
+  SELECT rid, unnest(words) AS w0, unnest(range(len(words))) AS i FROM split
+), runs AS (
+  SELECT rid, i, w0, lead(w0, 1) OVER o AS w1, lead(w0, 2) OVER o AS w2 FROM pos WINDOW o AS (PARTITION BY rid ORDER BY i)
 ), grams AS (
-  SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i], words[i + 1], words[i + 2]) AS n FROM pos
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, w0, w1, w2) AS n FROM runs WHERE w2 IS NOT NULL
 ), covered AS (
   SELECT rid, count(DISTINCT p) AS n_repeat_words
   FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE n >= 2) GROUP BY rid
@@ -96,9 +98,9 @@ WITH docs AS (
   FROM cum GROUP BY level, lang, source, k
 ), fence AS (
   SELECT level, lang, source, max(total) AS total,
-         max(CASE WHEN k = 1 THEN q2 + 4 * greatest(q2 - q1, 250) END) AS h1,
-         max(CASE WHEN k = 2 THEN q2 + 4 * greatest(q2 - q1, 750) END) AS h2,
-         max(CASE WHEN k = 3 THEN q2 + 4 * greatest(q2 - q1, 750) END) AS h3,
+         max(CASE WHEN k = 1 THEN q2 + 4 * greatest(q2 - q1, 200) END) AS h1,
+         max(CASE WHEN k = 2 THEN q2 + 4 * greatest(q2 - q1, 1000) END) AS h2,
+         max(CASE WHEN k = 3 THEN q2 + 4 * greatest(q2 - q1, 1000) END) AS h3,
          max(CASE WHEN k = 4 THEN q2 + 4 * greatest(q2 - q1, 75) END) AS h4,
          max(CASE WHEN k = 4 THEN q2 - 4 * greatest(q3 - q2, 75) END) AS l4
   FROM quart GROUP BY level, lang, source

@@ -33,9 +33,9 @@ MIN_DOCS, SPREADS = 30, 4
 #: Feature: (least spread, whether low values fail as well as high ones).
 #: Shares are in hundredths of a percent, the mean word length in hundredths of a character.
 FLOORS = {
-    "symbol_share": (250, False),
-    "dup_line_share": (750, False),
-    "repeat_share": (750, False),
+    "symbol_share": (200, False),
+    "dup_line_share": (1000, False),
+    "repeat_share": (1000, False),
     "word_length": (75, True),
 }
 LEVELS = (("lang", "source"), ("lang",), ())
