@@ -51,7 +51,7 @@ def shares(df: DataFrame, column: str) -> DataFrame:
 
 
 def crosstab(df: DataFrame, a: str, b: str, values: Sequence) -> DataFrame:
-    return df.groupBy(a).pivot(b, list(values)).agg(F.count("*")).na.fill(0)
+    return df.groupBy(a).pivot(b, list(values)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def concentration(df: DataFrame, dimension: str, bad: Column, top: int = 10) -> DataFrame:

@@ -764,15 +764,15 @@ def knn_1d_topk(spark, sf):
 @query(
     f"""{_POINTS}, d AS (SELECT q.program, q.entity, abs(p.gpa - q.gpa) AS distance, p.n_items, CAST(p.pass_credits < p.reg_credits AS INTEGER) AS failed, row_number() OVER (PARTITION BY q.program, q.entity ORDER BY abs(p.gpa - q.gpa), p.period, p.entity) AS rank
 FROM pts q JOIN pts p ON p.program = q.program AND p.entity <> q.entity WHERE q.entity % 10 = 0)
-SELECT program, entity, count(*) AS support, round(median(distance), 6) AS median_distance, round(avg(failed), 6) AS p_failed, round(avg(n_items), 6) AS mean_n_items, CAST(avg(failed) > 0.5 AS INTEGER) AS class_failed, CAST(count(*) >= 20 AS INTEGER) AS full_k FROM d WHERE rank <= 20 GROUP BY ALL"""
+SELECT program, entity, count(*) AS support, round(median(round(distance, 4)), 4) AS median_distance, round(avg(failed), 6) AS p_failed, round(avg(n_items), 6) AS mean_n_items, CAST(avg(failed) > 0.5 AS INTEGER) AS class_failed, CAST(count(*) >= 20 AS INTEGER) AS full_k FROM d WHERE rank <= 20 GROUP BY ALL"""
 )
 def knn_level_predict(spark, sf):
     p = _points(spark, sf)
     q = p.where("entity % 10 = 0").withColumn("query", F.col("entity"))
-    near = neighbors.nearest_1d(q, p, ["program"], "gpa", "query", "entity", "period", 20)
+    near = neighbors.nearest_1d(q, p, ["program"], "gpa", "query", "entity", "period", 20).withColumn("distance", F.round("distance", 4))
     facts = p.select("program", F.col("entity").alias("neighbor_entity"), (F.col("pass_credits") < F.col("reg_credits")).cast("int").alias("failed"), "n_items")
     out = neighbors.predict(near, facts, ["program", "neighbor_entity"], ["program", "query"], ["failed"], ["n_items"])
-    return out.select("program", F.col("query").alias("entity"), "support", *r6("median_distance", "p_failed", "mean_n_items"), "class_failed", "full_k")
+    return out.select("program", F.col("query").alias("entity"), "support", F.round("median_distance", 4).alias("median_distance"), *r6("p_failed", "mean_n_items"), "class_failed", "full_k")
 
 
 @query(
@@ -840,7 +840,7 @@ def name_similarity(spark, sf):
 
 
 @query(
-    """n AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name, list_distinct(string_split(p_name, ' ')) AS w FROM n)
+    """WITH n AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name, list_distinct(string_split(p_name, ' ')) AS w FROM n)
 SELECT a.p_name AS name, b.p_name AS old_name, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 6) AS score FROM w a, w b WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE >= 0.3""",
     base=False,
 )
