@@ -77,7 +77,7 @@ def write_table(df: DataFrame, path: str, metadata: dict | None = None, partitio
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staging)
     if metadata is not None:
-        write_json(spark, f"{staging}/_metadata.json", metadata)
+        write_json(spark, f"{staging}/_lineage.json", metadata)
     jvm = spark.sparkContext._jvm
     if not fs.rename(s, jvm.org.apache.hadoop.fs.Path(path)):
         raise OSError(f"can't publish {path}")
@@ -93,11 +93,16 @@ def write_json(spark: SparkSession, path: str, value) -> None:
 
 
 def read_json(spark: SparkSession, path: str):
-    return json.loads(bytes(spark.read.format("binaryFile").load(path).first()["content"]).decode())
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def read_metadata(spark: SparkSession, path: str) -> dict:
-    return read_json(spark, f"{path.rstrip('/')}/_metadata.json")
+    return read_json(spark, f"{path.rstrip('/')}/_lineage.json")
 
 
 def add_columns(df: DataFrame, extra: DataFrame, keys: Sequence[str]) -> DataFrame:

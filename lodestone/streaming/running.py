@@ -18,14 +18,19 @@ def running_statistics(stream: DataFrame, keys: Sequence[str], value: str, pass_
     return stream.groupBy(*keys).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.count_if(F.col(value) >= pass_value).alias("passed"))
 
 
+def _timed(stream: DataFrame, time: str) -> DataFrame:
+    """Event times without a zone are the session's."""
+    return stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def windowed_counts(stream: DataFrame, time: str, width: str, late: str, keys: Sequence[str] = ()) -> DataFrame:
     """Counts by time window; rows later than ``late`` are left out and their state is dropped."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("begin"), *keys, "n")
+    return _timed(stream, time).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("begin"), *keys, "n")
 
 
 def first_seen(stream: DataFrame, time: str, late: str, keys: Sequence[str]) -> DataFrame:
     """Each key once within the lateness bound."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
+    return _timed(stream, time).withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
