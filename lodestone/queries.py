@@ -890,6 +890,101 @@ def link_weights(spark, sf):
     return matching.link_weights(links, "new", "support", 20).withColumn("weight", F.round("weight", 6))
 
 
+# More evidence, indexes and audits
+
+
+@query(
+    """k AS (SELECT item, count(*) AS n, avg(mark) AS v FROM enrol WHERE brand % 4 <> 1 GROUP BY item), w AS (SELECT category, count(*) AS n, avg(mark) AS v, CAST(category = 'PROMO' AS INTEGER) AS service FROM enrol GROUP BY category), r AS (SELECT DISTINCT item, category FROM enrol)
+SELECT r.item, r.category, round(coalesce(k.v, w.v), 6) AS matched, CASE WHEN k.v IS NOT NULL THEN 'narrow' WHEN w.v IS NOT NULL THEN 'wide' ELSE 'none' END AS match_tier
+FROM r LEFT JOIN k ON k.item = r.item AND k.n >= 20 LEFT JOIN w ON w.category = r.category AND w.n >= 20 AND w.service = 0"""
+)
+def fallback_match(spark, sf):
+    e = binding.enrolment(spark, sf)
+    narrow = e.where("brand % 4 <> 1").groupBy("item").agg(F.count("*").alias("n"), F.avg("mark").alias("v"))
+    wide = e.groupBy("category").agg(F.count("*").alias("n"), F.avg("mark").alias("v")).withColumn("service", (F.col("category") == "PROMO").cast("int"))
+    out = matching.fallback_match(e.select("item", "category").distinct(), narrow, wide, "item", "category", "v", "n", 20, "service")
+    return out.withColumn("matched", F.round("matched", 6))
+
+
+@query(
+    """r AS (SELECT category, item, brand, count(*) AS n, round(avg(CAST(mark >= 50 AS INTEGER)), 6) AS rate FROM enrol GROUP BY ALL)
+SELECT category, string_agg(item, ',' ORDER BY n DESC, item) AS items, round(max(rate) - min(rate), 6) AS spread, count(DISTINCT brand) AS families, CAST(count(DISTINCT brand) >= 5 AS INTEGER) AS is_service FROM r GROUP BY category"""
+)
+def name_index(spark, sf):
+    r = binding.enrolment(spark, sf).groupBy("category", "item", "brand").agg(F.count("*").alias("n"), F.round(F.avg((F.col("mark") >= 50).cast("int")), 6).alias("rate"))
+    out = profile.name_index(r, "category", "item", "rate", "n", "brand")
+    return out.withColumn("items", F.array_join("items", ",")).withColumn("spread", F.round("spread", 6))
+
+
+@query(
+    """x AS (SELECT brand, CAST(mark >= 50 AS INTEGER) AS y, score100, CASE WHEN line < 3 THEN 0 ELSE line * 5 END AS support FROM enrol), s AS (SELECT 'all' AS segment, * FROM x UNION ALL SELECT 'small', * FROM x WHERE brand < 5)
+SELECT segment, count(*) AS n, round(avg(CAST(support > 0 AS INTEGER)), 6) AS coverage, round(avg(CAST(support >= 20 AS INTEGER)), 6) AS full_k_coverage,
+round((count(*) FILTER (WHERE support > 0 AND y = 1 AND score100 > 50) / count(*) FILTER (WHERE support > 0 AND y = 1)::DOUBLE + count(*) FILTER (WHERE support > 0 AND y = 0 AND score100 <= 50) / count(*) FILTER (WHERE support > 0 AND y = 0)::DOUBLE) / 2, 6) AS balanced_accuracy
+FROM s GROUP BY segment"""
+)
+def neighbor_slices(spark, sf):
+    e = binding.enrolment(spark, sf).select("brand", (F.col("mark") >= 50).cast("int").alias("y"), (F.col("score100") / 100).alias("p"), F.when(F.col("line") < 3, 0).otherwise(F.col("line") * 5).alias("support"))
+    out = neighbors.evaluation_slices(e, {"all": F.lit(True), "small": F.col("brand") < 5}, "y", "p", "support", 20)
+    return out.select("segment", "n", *r6("coverage", "full_k_coverage", "balanced_accuracy"))
+
+
+@query("SELECT segment, count(*) AS n, round(avg(abs(score100 - mark)), 6) AS mae FROM (SELECT 'known' AS segment, * FROM enrol WHERE brand > 3 UNION ALL SELECT 'promo', * FROM enrol WHERE category = 'PROMO') WHERE brand % 5 <> 0 GROUP BY segment")
+def prior_accuracy(spark, sf):
+    e = binding.enrolment(spark, sf).withColumn("prior", F.when(F.col("brand") % 5 != 0, F.col("score100")))
+    return metrics.prior_accuracy(e, "prior", "mark", {"known": F.col("brand") > 3, "promo": F.col("category") == "PROMO"}).withColumn("mae", F.round("mae", 6))
+
+
+@query("SELECT 'enrolment' AS stage, count(*) AS n FROM enrol WHERE entity = 6 UNION ALL SELECT 'terms', count(*) FROM terms WHERE entity = 6 UNION ALL SELECT 'valid', count(*) FROM terms WHERE entity = 6 AND gpa > 0")
+def lineage_stages(spark, sf):
+    t = binding.terms(spark, sf)
+    return profile.lineage({"enrolment": binding.enrolment(spark, sf), "terms": t, "valid": t.where("gpa > 0")}, "entity", 6)
+
+
+@query(
+    """x AS (SELECT brand % 5 AS seed, CASE WHEN line % 2 = 0 THEN 'base' ELSE 'other' END AS arm, category AS metric, round(avg(mark), 6) AS value FROM enrol GROUP BY ALL),
+d AS (SELECT b.metric, round(o.value - b.value, 6) AS d FROM x b JOIN x o ON b.seed = o.seed AND b.metric = o.metric AND b.arm = 'base' AND o.arm = 'other'), a AS (SELECT metric, avg(d) AS m, count(*) FILTER (WHERE d > 0) AS up, count(*) FILTER (WHERE d < 0) AS down FROM d GROUP BY metric)
+SELECT metric, up AS improved, down AS worsened, CASE WHEN m > 0.2 AND up >= 3 THEN 'improved' WHEN m < -0.2 AND down >= 3 THEN 'worsened' ELSE 'noise' END AS verdict FROM a"""
+)
+def noise_verdicts(spark, sf):
+    runs = binding.enrolment(spark, sf).groupBy((F.col("brand") % 5).alias("seed"), F.when(F.col("line") % 2 == 0, "base").otherwise("other").alias("arm"), F.col("category").alias("metric")).agg(F.round(F.avg("mark"), 6).alias("value"))
+    out = metrics.noise_verdict(metrics.paired_deltas(runs, "seed", "arm", "metric", "value", "base", "other"), F.lit(0.2), 3)
+    return out.select("metric", "improved", "worsened", "verdict")
+
+
+@query(
+    """p AS (SELECT item, category, brand, credits, count(DISTINCT program) AS programs, min(period) AS first FROM enrol GROUP BY ALL), c AS (SELECT n.item AS new, o.item AS old,
+  CASE WHEN n.credits = o.credits THEN 0.3 ELSE 0 END::DOUBLE + CASE WHEN n.brand % 5 = o.brand % 5 THEN 0.45 ELSE 0 END::DOUBLE + CASE WHEN n.programs = o.programs THEN 0.15 ELSE 0 END::DOUBLE AS score FROM p n JOIN p o ON n.category = o.category AND n.brand > o.brand),
+r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS runner_up FROM c WINDOW w AS (PARTITION BY new ORDER BY score DESC, old))
+SELECT new, old, round(score, 6) AS score, round(runner_up, 6) AS runner_up, CASE WHEN score >= 0.7 AND (runner_up IS NULL OR score >= 1.5 * runner_up) THEN 'confirmed' WHEN score >= 0.4 THEN 'probable' ELSE 'unlikely' END AS bucket FROM r WHERE k = 1"""
+)
+def evidence_classes(spark, sf):
+    p = binding.enrolment(spark, sf).groupBy("item", "category", "brand", "credits").agg(F.count_distinct("program").alias("programs"))
+    n, o = (p.select("category", *[F.col(c).alias(f"{x}_{c}") for c in ("item", "brand", "credits", "programs")]) for x in ("n", "o"))
+    pairs = n.join(o, "category").where("n_brand > o_brand")
+    signals = {"credits": (F.col("n_credits") == F.col("o_credits"), 0.3), "family": (F.col("n_brand") % 5 == F.col("o_brand") % 5, 0.45), "spread": (F.col("n_programs") == F.col("o_programs"), 0.15)}
+    c = pairs.select(F.col("n_item").alias("new"), F.col("o_item").alias("old"), matching.evidence_score(signals).alias("score"))
+    return matching.classify_candidates(c, "new", "score", 0.7, 0.4, 1.5).select("new", "old", *r6("score", "runner_up"), "bucket")
+
+
+@query(
+    """n AS (SELECT program || '__' || item AS key, avg(mark) AS v FROM enrol GROUP BY ALL), w AS (SELECT item AS key, avg(mark) AS v FROM enrol GROUP BY item), r AS (SELECT DISTINCT program, item, category, brand FROM enrol WHERE brand % 5 = 2)
+SELECT r.program, r.item, 'Brand#' || (brand - 1) || '/' || category AS predecessor, round(coalesce(n.v, w.v), 6) AS substituted_v FROM r LEFT JOIN n ON n.key = r.program || '__Brand#' || (brand - 1) || '/' || category LEFT JOIN w ON w.key = 'Brand#' || (brand - 1) || '/' || category"""
+)
+def predecessor_substitution(spark, sf):
+    e = binding.enrolment(spark, sf)
+    rows = e.where("brand % 5 = 2").select("program", "item").distinct()
+    links = e.where("brand % 5 = 2").select(F.col("item").alias("new"), F.concat(F.lit("Brand#"), (F.col("brand") - 1).cast("string"), F.lit("/"), F.col("category")).alias("old")).distinct()
+    narrow = e.groupBy(clean.composite_key(F.col("program"), F.col("item")).alias("key")).agg(F.avg("mark").alias("v"))
+    wide = e.groupBy(F.col("item").alias("key")).agg(F.avg("mark").alias("v"))
+    out = matching.substitute(rows, links, narrow, wide, "item", lambda old: clean.composite_key(F.col("program"), old), "v")
+    return out.select("program", "item", "predecessor", *r6("substituted_v"))
+
+
+@query("SELECT 'p_brand' AS column_name, count(*) FILTER (WHERE p_brand IS NULL) AS nulls, CAST(0 AS BIGINT) AS digits, CAST(0 AS BIGINT) AS decimal_zero, CAST(0 AS BIGINT) AS dotted, CAST(0 AS BIGINT) AS blank, count(*) AS other FROM part UNION ALL SELECT 'p_size', 0, count(*), 0, 0, 0, 0 FROM part", base=False)
+def id_signature(spark, sf):
+    return profile.id_signature(table(spark, sf, "part"), ["p_brand", "p_size"])
+
+
 # Learning
 
 
