@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import saved
 from .tokens import tokenizer_path
 
-MARK, CHUNK, CACHE_WORDS, CACHE_CHARS = "▁", 32_768, 400_000, 48
+MARK, CHUNK, CACHE_WORDS, CACHE_CHARS = "▁", 32_768, 300_000, 48
 NONE = -np.inf
 
 
@@ -62,6 +62,7 @@ class Pieces:
         if any(MARK in p[1:] and p.strip(MARK) for p in self.score):
             raise ValueError("a piece holds the blank mark inside")
         self.words: dict[str, tuple[float, bytes]] = {}
+        self.older: dict[str, tuple[float, bytes]] = {}  # what was learned before the cache was last full
 
     def forward(self, text: str, entry: dict[int, float], upto: int) -> tuple[list[float], list[int]]:
         """Best scores and the starts of last pieces (-1: an entry) of paths that take pieces starting before ``upto``.
@@ -105,12 +106,14 @@ class Pieces:
 
     def word(self, text: str) -> tuple[float, bytes]:
         known = self.words.get(text)
+        if known is None and (known := self.older.get(text)) is not None:
+            self.words[text] = known
         if known is None:
             best, back = self.forward(text, {0: 0.0}, len(text))
             known = best[-1], array("I", self.path(text, back, len(text))[1]).tobytes()
             if len(text) <= CACHE_CHARS:
                 if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
+                    self.older, self.words = self.words, {}
                 self.words[text] = known
         return known
 
@@ -155,28 +158,33 @@ def decode(pieces: Pieces, ids: bytes) -> str:
     return whole[1:] if whole.startswith(" ") else whole
 
 
-def _fixed_points(text: str, n: int) -> list[int]:
-    """Places up to ``n`` that every path passes: a blank mark after another character."""
-    out, at = [], text.find(MARK, 1)
-    while 0 < at < n:
-        if text[at - 1] != MARK:
-            out.append(at)
+def _passes(pieces: Pieces, text: str, n: int) -> tuple[int, int] | None:
+    """The first and last place of a chunk of ``n`` characters that every path passes: a blank mark after another character.
+
+    The first lies behind all states in which the chunk can be entered.
+    """
+    at = text.find(MARK, pieces.longest - 1)
+    while 0 < at < n and text[at - 1] == MARK:
         at = text.find(MARK, at + 1)
-    return out
+    if not 0 < at < n:
+        return None
+    last = text.rfind(MARK, at, n)
+    while last > at and text[last - 1] == MARK:
+        last = text.rfind(MARK, at, last)
+    return at, last
 
 
 def transfer(pieces: Pieces, text: str, n: int) -> np.ndarray:
     """Matrix of a chunk of ``n`` characters (``text`` looks on behind it): from each entry state to each exit state."""
     m = pieces.longest
     out = np.full((m, m), NONE)
-    points = _fixed_points(text, n)
 
     def ends(at: int, begin: int) -> list[float]:
         best, _ = pieces.forward(text[begin:], {at - begin: 0.0}, n - begin)
         return (best[n - begin : n - begin + m] + [NONE] * m)[:m]
 
-    if points and (first := next((p for p in points if p >= m - 1), None)) is not None:
-        last = points[-1]
+    if places := _passes(pieces, text, n):
+        first, last = places
         middle = sum(pieces.word(w)[0] for w in cut_words(text[first:last]))
         tail = np.array(ends(last, last))
         for o in range(m):
@@ -215,20 +223,22 @@ def _entered(pieces: Pieces, text: str, n: int, entry: np.ndarray) -> tuple[list
 
 def way_back(pieces: Pieces, text: str, n: int, entry: np.ndarray) -> list[int]:
     """For each exit state of a chunk, the state in which its best path enters."""
+    if places := _passes(pieces, text, n):
+        _, back = _entered(pieces, text[: places[0]], places[0], entry)
+        return [pieces.path(text, back, places[0])[0]] * pieces.longest
     best, back = _entered(pieces, text, n, entry)
-    out = []
-    for o in range(pieces.longest):
-        at = n + o
-        if at >= len(best) or best[at] == NONE:
-            out.append(0)
-            continue
-        while back[at] >= 0:
-            at = back[at]
-        out.append(at)
-    return out
+    return [pieces.path(text, back, n + o)[0] if n + o < len(best) and best[n + o] != NONE else 0 for o in range(pieces.longest)]
 
 
 def chunk_ids(pieces: Pieces, text: str, n: int, entry: np.ndarray, leave: int) -> bytes:
+    """The ids of a chunk's part of the best path, between its entry and its exit state."""
+    if places := _passes(pieces, text, n):
+        first, last = places
+        _, back = _entered(pieces, text[:first], first, entry)
+        head = array("I", pieces.path(text, back, first)[1]).tobytes()
+        middle = b"".join([pieces.word(w)[1] for w in cut_words(text[first:last])])
+        _, back = pieces.forward(text[last:], {0: 0.0}, n - last)
+        return head + middle + array("I", pieces.path(text[last:], back, n - last + leave)[1]).tobytes()
     _, back = _entered(pieces, text, n, entry)
     return array("I", pieces.path(text, back, n + leave)[1]).tobytes()
 
