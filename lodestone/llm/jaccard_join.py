@@ -31,7 +31,7 @@ from .components import connected_components
 from .tiles import dealt, each_tile
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, MAX_DEPTH, TARGET_RECALL = 24, 8, 0.9999
+TREES, MAX_DEPTH, TARGET_RECALL = 24, 8, 0.9999  # at most 32 trees
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _CELLS = 8_000_000  # of the matrix that a tile is verified with at a time
@@ -86,12 +86,12 @@ def minhash(s: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.ndarray:
 
 
 def labels(values: np.ndarray, depth: int, trees: int) -> np.ndarray:
-    """One key a tree: its label's prefix of ``depth`` values."""
+    """One key a tree: its label's prefix of ``depth`` values, with the tree in the last five bits."""
     v = (values >> np.uint64(20)).reshape(trees, -1)[:, :depth]
     key = np.arange(1, trees + 1, dtype=np.uint64)
     for d in range(depth):
         key = _mix(key * _MULT + v[:, d])
-    return key.view(np.int64)
+    return ((key & ~np.uint64(31)) | np.arange(trees, dtype=np.uint64)).view(np.int64)
 
 
 def signed(docs: DataFrame, depth: int, words: int = WORDS, trees: int = TREES, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -134,7 +134,7 @@ def _verify(threshold: float):
             both += m @ m.T
         union = n[:, None] + n[None, :] - both
         i, j = np.nonzero(np.triu(both >= threshold * union - 1e-9, 1))
-        keys, tree = np.stack(tile["keys"].to_numpy()), int(tile["tree"].iat[0])
+        keys, tree = np.stack(tile["keys"].to_numpy()), int(tile["key"].iat[0]) & 31
         first = ~(keys[i, :tree] == keys[j, :tree]).any(axis=1) if len(i) and tree else np.ones(len(i), bool)
         return i[first], j[first]
 
@@ -157,16 +157,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, t
     )
     reps = saved(reps, "shingle-sets")
 
-    nodes = reps.select("rid", F.posexplode("keys").alias("tree", "key"))
-    shared = (
-        nodes.groupBy("tree", "key")
-        .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y"))
-        .where("n > 1")
-    )
+    # all classes are dealt by narrow rows only; what tells nodes apart is made for the few that hold several
+    nodes = reps.select("rid", F.explode("keys").alias("key"))
+    shared = saved(nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "trie-nodes")
+    held = saved(nodes.join(sized(shared), "key").select("key", "n", "rid"), "node-members")
+    kinds = held.groupBy("key", "n").agg(F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y"))
     # of the nodes with the same members, that of the first tree
-    shared = shared.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "key")).alias("at")).select("at.tree", "at.key", "n")
-    shared = saved(shared, "trie-nodes")
-    members = saved(nodes.join(sized(shared), ["tree", "key"]).select("tree", "key", "n", "rid"), "node-members")
+    first = kinds.groupBy("n", "x", "y").agg(F.min(F.struct(F.expr("key & 31").alias("tree"), "key")).alias("at")).select("at.key")
+    members = saved(held.join(sized(saved(first, "first-nodes")), "key"), "members")
 
     compared = members.select("rid").distinct().join(reps, "rid").select("rid", "size", "keys", "skey", F.col("pick.tkey").alias("tkey"), F.col("pick.doc_id").alias("pick_id"))
     compared = saved(compared, "compared")
@@ -180,10 +178,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, t
             same = [xxhash.xxh3_128_hexdigest(s) == k for s, k in zip(found, b["skey"], strict=True)]
             yield pd.DataFrame({"rid": b["rid"], "shingles": found})[same]
 
-    held = texts.mapInPandas(sets, "rid long, shingles binary").dropDuplicates(["rid"])
-    full = saved(held.join(compared.select("rid", "size", "keys"), "rid"), "compared-sets")
-    tiles = dealt(members.join(full, "rid"), ["tree", "key"], F.col("n"), "rid")
-    found = saved(each_tile(tiles, ["tree", "key"], _verify(threshold)), "links")
+    found = texts.mapInPandas(sets, "rid long, shingles binary").dropDuplicates(["rid"])
+    full = saved(found.join(compared.select("rid", "size", "keys"), "rid"), "compared-sets")
+    tiles = dealt(members.join(full, "rid"), ["key"], F.col("n"), "rid")
+    found = saved(each_tile(tiles, ["key"], _verify(threshold)), "links")
 
     links = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("rid")).agg(F.sum("w").alias("links"))
     parts = connected_components(found.where(F.col("b").isNotNull()))
