@@ -52,7 +52,7 @@ HEADER_WORDS, CONTENT_WORDS = frozenset(["header", "topbar"]), frozenset("articl
 MAX_NODES = 2_000  # of a wrapper; what would exceed it isn't added, and such pages are read without it
 MAX_DEPTH = 100  # of a page's tree; deeper elements count as text of their ancestor
 HELD_TREES = 2_000  # distinct trees that a task holds before it hands them on
-FIXED_PAGES = 5  # pages that must agree on a text for it to be the wrapper's own
+FIXED_PAGES = 5  # pages of different content that must agree on a text for it to be the wrapper's own
 MAIN_SHARE = 0.6
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -63,11 +63,13 @@ _WORD = re.compile(r"[a-z]+")
 class Node:
     """A block element of a page, or an item of a wrapper."""
 
-    __slots__ = ("sig", "kids", "pages", "chars", "text", "optional", "many")
+    __slots__ = ("sig", "kids", "pages", "chars", "text", "optional", "many", "keys", "into")
 
     def __init__(self, sig: str, pages: int = 1):
         self.sig, self.kids, self.pages = sig, [], pages
         self.chars, self.text, self.optional, self.many = 0, "", False, False
+        self.keys: list[str] = []  # contents of the pages that agree on the text, FIXED_PAGES at most
+        self.into: Node | None = None  # what this node was merged into
 
     def shape(self) -> str:
         return f"{self.sig}{'+' * self.many}{'?' * self.optional}({','.join(k.shape() for k in self.kids)})"
@@ -76,13 +78,13 @@ class Node:
         return 1 + sum(k.size() for k in self.kids)
 
     def pack(self) -> list:
-        return [self.sig, self.pages, self.chars, self.text, self.optional, self.many, [k.pack() for k in self.kids]]
+        return [self.sig, self.pages, self.chars, self.text, self.optional, self.many, [k.pack() for k in self.kids], self.keys]
 
     @staticmethod
     def unpack(x: list) -> Node:
         node = Node(x[0], x[1])
         node.chars, node.text, node.optional, node.many = x[2:6]
-        node.kids = [Node.unpack(k) for k in x[6]]
+        node.kids, node.keys = [Node.unpack(k) for k in x[6]], x[7]
         return node
 
 
@@ -99,6 +101,11 @@ def _is_boiler(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
     return bool(words & BOILER_WORDS) or bool(words & HEADER_WORDS) and not words & CONTENT_WORDS
 
 
+def _named_boiler(sig: str) -> bool:
+    tag, *names = sig.split(".")
+    return _is_boiler(tag, {"class": " ".join(names)}, False)
+
+
 def _signature(tag: str, attrs: dict[str, str]) -> str:
     named = [re.sub(r"[^a-z]+", "-", attrs[k]) for k in ("class", "id", "role") if attrs.get(k)]
     return ".".join([tag, *named])
@@ -109,7 +116,7 @@ class Page:
 
     def __init__(self, source: str | None):
         self.root = Node("#page")
-        self.texts: list[tuple[str, bool, bool, tuple[str, ...], bool]] = []  # text, dropped, in main, path, starts a block
+        self.texts: list[tuple[str, bool, bool, tuple[str, ...], bool, Node]] = []  # text, dropped, in main, path, starts a block, node
         self.fresh = True
         self._read(source or "")
 
@@ -156,7 +163,7 @@ class Page:
         if not text.isspace():
             top[4].chars += len(text)
             top[4].text += text
-        self.texts.append((text, top[2], top[3], top[5], self.fresh))
+        self.texts.append((text, top[2], top[3], top[5], self.fresh, top[4]))
         self.fresh = False
 
     def _close(self, tag: str, stack: list) -> None:
@@ -186,13 +193,41 @@ class Page:
         if any(t[2] for t in own):
             own = [t for t in own if t[2]]
         elif rule:
-            fixed = {tuple(p) for p in rule["fixed"]}
             region = tuple(rule["main"])
-            inside = [t for t in own if t[3][: len(region)] == region]
-            own = [t for t in inside or own if t[3] not in fixed]
+            own = [t for t in own if t[3][: len(region)] == region] or own
+            fixed = self._fixed(rule["fixed"])
+            left = [t for t in own if id(t[5]) not in fixed]
+            own = left if any(t[0].strip() for t in left) else own  # a page of nothing else has these texts as its own
         return " ".join("".join(" " + t[0] if t[4] else t[0] for t in own).split())
 
 
+    def _fixed(self, wrapper: list) -> set[int]:
+        """The nodes that stand where the wrapper has a fixed text, and hold that text."""
+        if not wrapper[2]:
+            return set()
+        found: set[int] = set()
+
+        def place(node: Node, item: list) -> None:
+            if item[1] and node.text == item[1]:
+                found.add(id(node))
+            at = 0
+            for k in node.kids:
+                to = next((i for i in range(at, len(item[2])) if item[2][i][0] == k.sig), None)
+                if to is not None:
+                    place(k, item[2][to])
+                    at = to + 1
+
+        place(tidy(self.root), wrapper)
+        out = set()
+        for t in self.texts:
+            node = t[5]
+            while node.into is not None:
+                node = node.into
+            if id(node) in found:
+                out.add(id(t[5]))
+        return out
+
+
 def _collapse(kids: list[Node]) -> list[Node]:
     """Neighbours of one kind become one repeated item."""
     out: list[Node] = []
@@ -205,11 +240,22 @@ def _collapse(kids: list[Node]) -> list[Node]:
     return out
 
 
-def tidy(node: Node) -> Node:
+def _content(node: Node) -> str:
+    """The longest text of a page outside its boilerplate: copies and near copies have the same."""
+    if _named_boiler(node.sig):
+        return ""
+    return max([" ".join(node.text.split()), *map(_content, node.kids)], key=lambda t: (len(t), t))
+
+
+def tidy(node: Node, key: str | None = None) -> Node:
     """A page's tree as a wrapper of its own."""
+    key = key or xxhash.xxh64_hexdigest(_content(node))
     for k in node.kids:
-        tidy(k)
-    node.text = xxhash.xxh64_hexdigest(" ".join(node.text.split())) if node.chars else ""
+        tidy(k, key)
+    if node.chars:
+        node.text, node.keys = xxhash.xxh64_hexdigest(" ".join(node.text.split())), [key]
+    if node.sig == "#page":
+        node.keys = [key]
     node.kids = _collapse(node.kids)
     return node
 
@@ -237,6 +283,8 @@ def _merge(a: Node, b: Node, same_page: bool = False) -> Node:
     a.pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
     a.chars += b.chars
     a.text = a.text if a.text == b.text else "*"
+    a.keys = sorted({*a.keys, *b.keys})[:FIXED_PAGES] if a.text != "*" or a.sig == "#page" else []
+    b.into = a
     a.optional, a.many = a.optional or b.optional, a.many or b.many
     if a.kids or b.kids:
         kids, i, j = [], 0, 0
@@ -269,32 +317,32 @@ def expression(node: Node) -> str:
     return f"({whole}){'*' if node.optional and node.many else '?' if node.optional else '+'}" if node.optional or node.many else whole
 
 
+def _is_fixed(node: Node) -> bool:
+    return bool(node.chars) and node.text != "*" and len(node.keys) >= FIXED_PAGES
+
+
 def wrapper_rule(wrapper: Node) -> dict:
-    """The region with most slot text, and the paths whose texts are the wrapper's own."""
-    fixed: list[list[str]] = []
+    """The region with most slot text, and the fixed texts at their places: kind, text and items of the wrapper, as far as they hold any."""
     volume: dict[int, int] = {}
 
-    def weigh(node: Node, path: list[str]) -> int:
-        tag = node.sig.split(".")[0]
-        names = {"class": " ".join(node.sig.split(".")[1:])}
-        if _is_boiler(tag, names, False):
-            volume[id(node)] = 0
-            return 0
-        own = node.chars if node.text == "*" else 0
-        if node.chars and node.text != "*" and node.pages >= FIXED_PAGES:
-            fixed.append(path)
-        volume[id(node)] = own + sum(weigh(k, [*path, k.sig]) for k in node.kids)
+    def weigh(node: Node) -> int:
+        own = 0 if _is_fixed(node) else node.chars
+        volume[id(node)] = 0 if _named_boiler(node.sig) else own + sum(weigh(k) for k in node.kids)
         return volume[id(node)]
 
-    weigh(wrapper, [])
+    def places(node: Node) -> list:
+        kids = [] if _named_boiler(node.sig) else [places(k) for k in node.kids]
+        return [node.sig, node.text if _is_fixed(node) else "", kids if any(k[1] or k[2] for k in kids) else []]
+
+    weigh(wrapper)
     node, main = wrapper, []
-    while node.kids:
-        best = max(node.kids, key=lambda k: volume[id(k)] if id(k) in volume else 0)
-        if volume.get(id(best), 0) < MAIN_SHARE * max(1, volume[id(node)]) or best.many:
+    while node.kids and len(wrapper.keys) >= FIXED_PAGES:  # fewer contents say nothing about what changes
+        best = max(node.kids, key=lambda k: volume.get(id(k), 0))
+        if volume.get(id(best), 0) < MAIN_SHARE * max(1, volume[id(node)]) or best.many or not best.kids:
             break
         node = best
         main.append(node.sig)
-    return {"main": main, "fixed": fixed}
+    return {"main": main, "fixed": places(wrapper)}
 
 
 def _host(url) -> str:

@@ -49,6 +49,25 @@ def test_wrapper_is_union_free_and_finds_the_region():
     assert expression(merge_wrappers([a.pack(), b.pack()])) == expression(wrapper)
 
 
+def rule_of(sources):
+    return wrapper_rule(merge_wrappers([tidy(Page(s).root).pack() for s in sources]))
+
+
+def test_copies_lose_no_text():
+    for copy in ("<body><p>text</p></body>", "<body><h1>Head</h1><div class=box><p>one</p><h2>two</h2></div></body>"):
+        assert Page(copy).main_text(rule_of([copy] * 8)) == Page(copy).main_text(None)
+    copies = [f"<body><div><h3>Head</h3><p>{'long ' * 40}</p><p>number {i}</p></div></body>" for i in range(8)]
+    others = [f"<body><div><h1>{w}</h1><p>{w * 90}</p></div></body>" for w in "abcdefgh"]
+    assert "Head" in Page(copies[0]).main_text(rule_of(copies + others))
+
+
+def test_fixed_texts_are_known_by_their_place():
+    pages = [f"<body><div><p>By us</p><h2>{w} title</h2><p>{w * 60}</p></div></body>" for w in "abcdefgh"]
+    rule = rule_of(pages)
+    assert [Page(p).main_text(rule) for p in pages] == [f"{w} title {w * 60}" for w in "abcdefgh"]
+    assert Page("<body><div><p>Other</p><h2>t</h2><p>By us</p></div></body>").main_text(rule) == "Other t By us"
+
+
 def test_pages_edge_cases(spark):
     rows = [(1, None, None, 1), (2, "https://a.b/", "", 2), (2, "https://a.b/", "", 2), (None, "x", "<p>hi</p>", 3), (4, "https://a.b/", "<p>one</p>two", 4)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
