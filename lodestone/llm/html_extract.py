@@ -9,9 +9,10 @@ own and those are merged in two steps; a host with a third of all pages is no
 single task's.  A wrapper says which text of a host's pages is fixed and where
 the slot with most text is.
 
-A page's text is that of its ``article`` elements (or ``main``); where it has
-none, that of the region which the host's wrapper names, without the wrapper's
-fixed texts; where the page lacks that region, that of the body.  Menus,
+A page's text is that of the region which the host's wrapper names, without the
+wrapper's fixed texts.  ``article`` and ``main`` elements are evidence when the
+wrapper is weighed: their slots count ``SEMANTIC`` times.  Where a page lacks the
+region, its text is that of its own such elements, or else of the body.  Menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are left out by element, role and class name wherever they stand.
 
@@ -54,6 +55,7 @@ MAX_DEPTH = 100  # of a page's tree; deeper elements count as text of their ance
 HELD_TREES = 2_000  # distinct trees that a task holds before it hands them on
 FIXED_PAGES = 5  # pages of different content that must agree on a text for it to be the wrapper's own
 MAIN_SHARE = 0.6
+SEMANTIC = 10  # weight of text in article and main elements
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
@@ -101,13 +103,25 @@ def _is_boiler(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
     return bool(words & BOILER_WORDS) or bool(words & HEADER_WORDS) and not words & CONTENT_WORDS
 
 
-def _named_boiler(sig: str) -> bool:
+def _named_boiler(sig: str, in_main: bool = False) -> bool:
     tag, *names = sig.split(".")
-    return _is_boiler(tag, {"class": " ".join(names)}, False)
+    return _is_boiler(tag, {"class": " ".join(names)}, in_main)
+
+
+def _kind(sig: str) -> str:
+    """What a region's path names: elements that are main text by tag or role are one kind whatever their class."""
+    tag, *names = sig.split(".")
+    if tag in ("article", "main"):
+        return tag
+    return next((n for n in names if n in ("role-main", "role-article")), sig)
+
+
+def _semantic(kind: str) -> bool:
+    return kind in ("article", "main", "role-main", "role-article")
 
 
 def _signature(tag: str, attrs: dict[str, str]) -> str:
-    named = [re.sub(r"[^a-z]+", "-", attrs[k]) for k in ("class", "id", "role") if attrs.get(k)]
+    named = [("role-" if k == "role" else "") + re.sub(r"[^a-z]+", "-", attrs[k]) for k in ("class", "id", "role") if attrs.get(k)]
     return ".".join([tag, *named])
 
 
@@ -190,11 +204,17 @@ class Page:
 
     def main_text(self, rule: dict | None) -> str:
         own = [t for t in self.texts if not t[1]]
-        if any(t[2] for t in own):
-            own = [t for t in own if t[2]]
-        elif rule:
+        semantic = [t for t in own if t[2]]
+        if not rule:
+            own = semantic or own
+        else:
             region = tuple(rule["main"])
-            own = [t for t in own if t[3][: len(region)] == region] or own
+            inside = [t for t in own if tuple(map(_kind, t[3][: len(region)])) == region]
+            if not any(t[0].strip() for t in inside):
+                inside = semantic or own
+            elif rule["semantic"]:
+                inside = [t for t in inside if t[2]] or inside
+            own = inside
             fixed = self._fixed(rule["fixed"])
             left = [t for t in own if id(t[5]) not in fixed]
             own = left if any(t[0].strip() for t in left) else own  # a page of nothing else has these texts as its own
@@ -322,27 +342,47 @@ def _is_fixed(node: Node) -> bool:
 
 
 def wrapper_rule(wrapper: Node) -> dict:
-    """The region with most slot text, and the fixed texts at their places: kind, text and items of the wrapper, as far as they hold any."""
-    volume: dict[int, int] = {}
-
-    def weigh(node: Node) -> int:
-        own = 0 if _is_fixed(node) else node.chars
-        volume[id(node)] = 0 if _named_boiler(node.sig) else own + sum(weigh(k) for k in node.kids)
+    """The region with most slot text, whether its main text is in semantic elements, and the fixed texts at their places.
+
+    The last is a tree of kind, text and items, as far as the wrapper holds any.
+    """
+    volume: dict[int, tuple[int, int]] = {}  # of a node: text that changes, and the part of it in semantic elements
+    known = len(wrapper.keys) >= FIXED_PAGES  # fewer contents say nothing about what changes
+
+    def weigh(node: Node, in_main: bool) -> tuple[int, int]:
+        if _named_boiler(node.sig, in_main):
+            volume[id(node)] = 0, 0
+            return 0, 0
+        in_main = in_main or _semantic(_kind(node.sig))
+        own = 0 if _is_fixed(node) or not (known or in_main) else node.chars * (SEMANTIC if in_main else 1)
+        below = [weigh(k, in_main) for k in node.kids]
+        volume[id(node)] = own + sum(v for v, _ in below), own * in_main + sum(v for _, v in below)
         return volume[id(node)]
 
-    def places(node: Node) -> list:
-        kids = [] if _named_boiler(node.sig) else [places(k) for k in node.kids]
+    def places(node: Node, in_main: bool) -> list:
+        if _named_boiler(node.sig, in_main):
+            return [node.sig, "", []]
+        in_main = in_main or _semantic(_kind(node.sig))
+        kids = [places(k, in_main) for k in node.kids]
         return [node.sig, node.text if _is_fixed(node) else "", kids if any(k[1] or k[2] for k in kids) else []]
 
-    weigh(wrapper)
-    node, main = wrapper, []
-    while node.kids and len(wrapper.keys) >= FIXED_PAGES:  # fewer contents say nothing about what changes
-        best = max(node.kids, key=lambda k: volume.get(id(k), 0))
-        if volume.get(id(best), 0) < MAIN_SHARE * max(1, volume[id(node)]) or best.many or not best.kids:
+    def total(nodes: list[Node], part: int = 0) -> int:
+        return sum(volume[id(n)][part] if id(n) in volume else 0 for n in nodes)
+
+    weigh(wrapper, False)
+    level, main = [wrapper], []
+    while not (main and _semantic(main[-1])):
+        kinds: dict[str, list[Node]] = {}
+        for k in [k for n in level for k in n.kids]:
+            kinds.setdefault(_kind(k.sig), []).append(k)
+        best = max(kinds, key=lambda k: total(kinds[k]), default="")
+        if not best or total(kinds[best]) < MAIN_SHARE * max(1, total(level)):
+            break
+        if not _semantic(best) and (any(k.many for k in kinds[best]) or not any(k.kids for k in kinds[best])):
             break
-        node = best
-        main.append(node.sig)
-    return {"main": main, "fixed": places(wrapper)}
+        level = kinds[best]
+        main.append(best)
+    return {"main": main, "semantic": total(level, 1) >= MAIN_SHARE * max(1, total(level)), "fixed": places(wrapper, False)}
 
 
 def _host(url) -> str:

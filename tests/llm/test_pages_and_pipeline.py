@@ -1,6 +1,7 @@
 """HTML extraction, and the pipeline against its stages by brute force."""
 
 import html
+import json
 import re
 
 import corpus_pipeline
@@ -68,6 +69,19 @@ def test_fixed_texts_are_known_by_their_place():
     assert Page("<body><div><p>Other</p><h2>t</h2><p>By us</p></div></body>").main_text(rule) == "Other t By us"
 
 
+def test_the_wrapper_decides_for_pages_with_semantic_elements(spark, small):
+    stories = [f"<html><body><article><h1>{w} head</h1><div>Written for you</div><p>{w * 70}</p></article><div>also {w}</div></body></html>" for w in "abcdefgh"]
+    rule = rule_of(stories)
+    assert rule["main"] == ["html", "body", "article"]
+    assert [Page(p).main_text(rule) for p in stories] == [f"{w} head {w * 70}" for w in "abcdefgh"]
+    teasers = [f"<body><article>Read our offer</article><div class=text><h1>{w}</h1><p>{w * 70}</p></div></body>" for w in "abcdefgh"]
+    rule = rule_of(teasers)
+    assert rule["main"] == ["body", "div.text"]
+    assert [Page(p).main_text(rule) for p in teasers] == [f"{w} {w * 70}" for w in "abcdefgh"]
+    for w in html_extract.wrappers(spark.read.parquet(f"{small}/pages.parquet")).collect():
+        assert wrapper_rule(html_extract.Node.unpack(json.loads(w.tree)))["main"] == ["html", "body", "article"]
+
+
 def test_pages_edge_cases(spark):
     rows = [(1, None, None, 1), (2, "https://a.b/", "", 2), (2, "https://a.b/", "", 2), (None, "x", "<p>hi</p>", 3), (4, "https://a.b/", "<p>one</p>two", 4)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
