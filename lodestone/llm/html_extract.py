@@ -24,6 +24,7 @@ are ignored.
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import json
 import re
@@ -50,7 +51,7 @@ BOILER_WORDS = frozenset(
 )
 HEADER_WORDS, CONTENT_WORDS = frozenset(["header", "topbar"]), frozenset("article content entry post story".split())
 
-MAX_NODES = 2_000  # of a wrapper; what would exceed it isn't added, and such pages are read without it
+MAX_NODES = 2_000  # of a wrapper; beyond it, the items of fewest pages become text slots of what holds them
 MAX_DEPTH = 100  # of a page's tree; deeper elements count as text of their ancestor
 HELD_TREES = 2_000  # distinct trees that a task holds before it hands them on
 FIXED_PAGES = 5  # pages of different content that must agree on a text for it to be the wrapper's own
@@ -274,14 +275,22 @@ def tidy(node: Node, key: str | None = None) -> Node:
         tidy(k, key)
     if node.chars:
         node.text, node.keys = xxhash.xxh64_hexdigest(" ".join(node.text.split())), [key]
+    node.kids = _collapse(node.kids)
     if node.sig == "#page":
         node.keys = [key]
-    node.kids = _collapse(node.kids)
+        return bounded(node)
     return node
 
 
 def _align(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
     """A longest common subsequence of two lists of items, by kind."""
+    same = 0
+    while same < min(len(a), len(b)) and a[same].sig == b[same].sig:
+        same += 1
+    if same:  # what both begin with is in a longest one
+        return [(k, k) for k in range(same)] + [(i + same, j + same) for i, j in _align(a[same:], b[same:])]
+    if not a or not b:
+        return []
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -319,16 +328,65 @@ def _merge(a: Node, b: Node, same_page: bool = False) -> Node:
     return a
 
 
-def merge_wrappers(trees: list[list]) -> Node:
-    """The wrapper of packed trees, folded in the order of their shapes."""
-    nodes = sorted((Node.unpack(t) for t in trees), key=lambda n: (n.shape(), n.pages, n.chars, n.text))
-    wrapper = nodes[0]
-    for n in nodes[1:]:
-        if wrapper.size() + n.size() <= MAX_NODES or wrapper.shape() == n.shape():
-            _merge(wrapper, n)
+def bounded(wrapper: Node) -> Node:
+    """``wrapper`` with MAX_NODES at most: leaves of fewest pages, optional ones first, become text slots of their parents."""
+    beyond = wrapper.size() - MAX_NODES
+    if beyond <= 0:
+        return wrapper
+    leaves: list[tuple[bool, int, int, int, Node, Node]] = []
+    held: dict[int, tuple[Node, int, int]] = {}  # a node's parent, depth and place in the order of the page
+
+    def visit(node: Node, depth: int) -> None:
+        for k in node.kids:
+            held[id(k)] = (node, depth, len(held))
+            visit(k, depth + 1)
+            if not k.kids:
+                leaves.append((not k.optional, k.pages, -depth, -held[id(k)][2], k, node))
+
+    visit(wrapper, 1)
+    left = {id(n): len(n.kids) for n in [wrapper, *(p for p, _, _ in held.values())]}
+    heapq.heapify(leaves)
+    gone: set[int] = set()
+    while beyond > 0 and leaves:
+        *_, leaf, parent = heapq.heappop(leaves)
+        gone.add(id(leaf))
+        beyond -= 1
+        parent.chars += leaf.chars
+        if leaf.chars:
+            parent.text = "*"
+            parent.keys = parent.keys if parent is wrapper else []
+        left[id(parent)] -= 1
+        if not left[id(parent)] and parent is not wrapper:
+            above, depth, place = held[id(parent)]
+            heapq.heappush(leaves, (not parent.optional, parent.pages, -depth, -place, parent, above))
+
+    def prune(node: Node) -> None:
+        n = len(node.kids)
+        node.kids = [k for k in node.kids if id(k) not in gone]
+        for k in node.kids:
+            prune(k)
+        if len(node.kids) < n:
+            node.kids = _collapse(node.kids)
+
+    prune(wrapper)
     return wrapper
 
 
+def merge_wrappers(trees: list[list]) -> Node:
+    """The wrapper of packed trees: those of one shape first, then the shapes in their order, so it doesn't depend on how pages were dealt."""
+    shapes: dict[str, Node] = {}
+    for n in map(Node.unpack, trees):
+        at = n.shape()
+        if at in shapes:
+            _merge(shapes[at], n)
+        else:
+            shapes[at] = n
+    first, *others = [shapes[at] for at in sorted(shapes)]
+    for n in others:
+        first = bounded(_merge(first, n))
+    return first
+
+
 def expression(node: Node) -> str:
     """A wrapper as a regular expression without unions; ``#`` is a text slot, ``"`` a fixed text."""
     text = "" if not node.chars else "#" if node.text == "*" else '"'

@@ -82,6 +82,21 @@ def test_the_wrapper_decides_for_pages_with_semantic_elements(spark, small):
         assert wrapper_rule(html_extract.Node.unpack(json.loads(w.tree)))["main"] == ["html", "body", "article"]
 
 
+def test_no_page_is_left_out_of_a_large_wrapper(monkeypatch):
+    monkeypatch.setattr(html_extract, "MAX_NODES", 24)
+    long = [f"<body><div><h5>Our notice</h5><p>{w * 50}</p>{''.join(f'<h{k % 2 + 2}>{w}{k}</h{k % 2 + 2}>' for k in range(16))}</div></body>" for w in "abc"]
+    other = [f"<body><div><h5>Our notice</h5><p>{w * 50}</p>{f'<u{w}>{w}</u{w}>' * 12}</div></body>" for w in "defghijk"]
+    trees = [tidy(Page(p).root).pack() for p in long + other]
+    wrapper = merge_wrappers(trees)
+    assert wrapper.pages == len(trees) and wrapper.size() <= 24
+    chars = lambda n: n.chars + sum(map(chars, n.kids))
+    assert chars(wrapper) == sum(chars(html_extract.Node.unpack(t)) for t in trees)
+    assert merge_wrappers(trees[::-1]).pack() == wrapper.pack()
+    rule = wrapper_rule(wrapper)
+    for p in long + other:
+        assert Page(p).main_text(rule) == Page(p).main_text(None).replace("Our notice ", "")
+
+
 def test_pages_edge_cases(spark):
     rows = [(1, None, None, 1), (2, "https://a.b/", "", 2), (2, "https://a.b/", "", 2), (None, "x", "<p>hi</p>", 3), (4, "https://a.b/", "<p>one</p>two", 4)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
