@@ -5,11 +5,13 @@ principal directions are found and rotated, again and again, so that the signs
 of the rotated vectors lose least: balanced binary codes.  Every vector gets
 the codes of some rotations; each code is cut into substrings, and vectors of
 one label that share a substring in one place meet in a bucket of that table.
-Substrings grow with the logarithm of the largest label, and rotations are
-added until a pair at the threshold meets with the target recall.  Within a
-bucket a pair is retrieved, in the first table where it meets, if its codes
-differ in few bits; retrieved vectors are compared by cosine in double
-precision.  Buckets are worked through tile by tile (see ``tiles``).
+Substrings grow with the logarithm of the largest label, as long as rotations
+can be added until a pair at the threshold meets with the target recall; beyond
+that they stay shorter and buckets grow.  How often the bits of such a pair
+agree is measured on the sample, with its own near pairs and with vectors moved
+to the threshold.  Within a bucket a pair is retrieved, in the first table where
+it meets, if its codes of that table's rotation differ in few bits; retrieved
+vectors are compared by cosine in double precision.  Buckets are worked through tile by tile (see ``tiles``).
 
 Defined results: vectors are compared only within one label and length; those
 that have a null label, are null, empty or zero, or hold null or non-finite
@@ -33,7 +35,8 @@ from .components import connected_components
 from .tiles import dealt, each_group, each_tile, pairs_of
 
 THRESHOLD, TARGET_RECALL = 0.93, 0.999
-BITS, FIT_ROWS, ITERATIONS, MAX_ROTATIONS = 64, 20_000, 40, 12
+BITS, FIT_ROWS, ITERATIONS, MAX_ROTATIONS = 64, 20_000, 40, 12  # more rotations only where substrings of one bit need them
+PROBES, PROBE_ROTATIONS, LEAST_AGREEMENT = 4_000, 4, 0.25
 BUCKET = 32  # members of a bucket that substrings are made long enough for
 
 
@@ -56,13 +59,44 @@ def fit_rotations(x: np.ndarray, count: int, bits: int = BITS, iterations: int =
     return mean, np.stack(out)
 
 
-def plan_tables(n: int, bits: int = BITS, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> tuple[int, int, int]:
+def plan_recall(agreements: list[np.ndarray], width: int, meetings: int) -> float:
+    """The least mean chance that pairs whose bits agree so often share one of ``meetings`` substrings."""
+    return min(float(np.mean(1 - (1 - a**width) ** meetings)) for a in agreements)
+
+
+def plan_tables(n: int, bits: int = BITS, threshold: float = THRESHOLD, target: float = TARGET_RECALL, measured: list[np.ndarray] | None = None) -> tuple[int, int, int]:
     """Substring bits, tables a rotation, and rotations for ``n`` vectors of one label."""
-    width = min(bits, max(8, math.ceil(math.log2(max(n, 2) / BUCKET))))
-    tables = max(1, bits // width)
-    agree = 1 - math.acos(threshold) / math.pi  # chance that a bit of a pair at the threshold agrees
-    need = math.log(1 - target) / math.log(1 - agree**width)
-    return width, tables, min(MAX_ROTATIONS, math.ceil(need / tables))
+    agreements = [np.array([1 - math.acos(threshold) / math.pi]), *(measured or [])]
+    widest = min(bits, max(8, math.ceil(math.log2(max(n, 2) / BUCKET))))
+    for width in range(widest, 0, -1):
+        tables = max(1, bits // width)
+        rotations = 1
+        while plan_recall(agreements, width, tables * rotations) < target and (rotations < MAX_ROTATIONS or width == 1):
+            rotations += 1
+        if plan_recall(agreements, width, tables * rotations) >= target:
+            break
+    return width, tables, rotations
+
+
+def measure_agreement(x: np.ndarray, mean: np.ndarray, projections: np.ndarray, threshold: float = THRESHOLD) -> list[np.ndarray]:
+    """How often the bits of near pairs agree: of unit vectors ``x`` moved to the threshold, and of near pairs among them."""
+    x = x[:PROBES]
+    if len(x) < 2 or x.shape[1] < 2:
+        return []
+    away = np.random.Generator(np.random.PCG64(1)).normal(size=x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+    some = np.linspace(0, len(i) - 1, min(len(i), PROBES)).astype(int)
+    pairs = [(x, threshold * x + math.sqrt(1 - threshold**2) * away), (x[i[some]], x[j[some]])]
+    same = [np.concatenate([((a - mean) @ p >= 0) == ((b - mean) @ p >= 0) for p in projections], axis=1) for a, b in pairs if len(a)]
+    return [np.maximum(s.mean(axis=1), LEAST_AGREEMENT) for s in same]
+
+
+def code_radius(bits: int, threshold: float, measured: list[np.ndarray]) -> float:
+    """Bits in which the codes of a near pair differ at most, four deviations beyond the pairs that agree least."""
+    most = bits * (1 - min([1 - math.acos(threshold) / math.pi, *(float(a.min()) for a in measured)]))
+    return most + 4 * math.sqrt(most)
 
 
 def encode(x: np.ndarray, mean: np.ndarray, projections: np.ndarray) -> np.ndarray:
@@ -101,11 +135,14 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, target: float = TA
 
     largest = reps.groupBy("label", F.size("x").alias("dim")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     sample = [r["x"] for r in reps.orderBy(F.xxhash64("k1"), "rid").limit(FIT_ROWS).select("x").collect()]
-    fitted, plans = {}, {}
+    fitted, plans, radius = {}, {}, {}
     for d in {len(v) for v in sample}:
         x = np.array([v for v in sample if len(v) == d], dtype=np.float64)
-        plans[d] = plan_tables(largest, min(BITS, d), threshold, target)
-        fitted[d] = fit_rotations(x / np.linalg.norm(x, axis=1, keepdims=True), plans[d][2])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        measured = measure_agreement(x, *fit_rotations(x, PROBE_ROTATIONS), threshold)
+        plans[d] = plan_tables(largest, min(BITS, d), threshold, target, measured)
+        radius[d] = code_radius(min(BITS, d), threshold, measured)
+        fitted[d] = fit_rotations(x, plans[d][2])
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -134,11 +171,11 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, target: float = TA
     tiles = dealt(members.join(sized(sizes), place), place, F.col("n"), "rid")
 
     def near_codes(tile: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.stack(tile["code"].to_numpy()).view(np.uint64)[:, 0]
-        keys, dim = np.stack(tile["keys"].to_numpy()), int(tile["dim"].iat[0])
-        bits = np.bitwise_count(codes[:, None] ^ codes[None, :])
-        most = min(BITS, dim) * math.acos(threshold) / math.pi
-        i, j = np.nonzero(np.triu(bits <= most + 4 * math.sqrt(most), 1))
+        codes, keys, dim = np.stack(tile["code"].to_numpy()).view(np.uint64), np.stack(tile["keys"].to_numpy()), int(tile["dim"].iat[0])
+        code = codes[:, int(tile["tab"].iat[0]) * codes.shape[1] // keys.shape[1]]
+        bits = np.bitwise_count(code[:, None] ^ code[None, :])
+        most = radius[dim] if dim in radius else code_radius(min(BITS, dim), threshold, [])
+        i, j = np.nonzero(np.triu(bits <= most, 1))
         first = _first_meeting(keys, int(tile["tab"].iat[0]), i, j)
         return i[first], j[first]
 

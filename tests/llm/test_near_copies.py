@@ -185,3 +185,25 @@ def test_table_plan_reaches_the_target():
         width, tables, rotations = embedding_dedup.plan_tables(n, target=0.99)
         agree = 1 - math.acos(0.93) / math.pi
         assert rotations == embedding_dedup.MAX_ROTATIONS or 1 - (1 - agree**width) ** (tables * rotations) >= 0.99
+
+
+@pytest.mark.parametrize("bits", [2, 8, 12, 16, 32, 64])
+def test_table_plan_reaches_the_target_at_any_size(bits):
+    for n in (10, 5_000, 1_000_000, 5_000_000, 100_000_000, 10**10):
+        width, tables, rotations = embedding_dedup.plan_tables(n, bits)
+        agree = 1 - math.acos(embedding_dedup.THRESHOLD) / math.pi
+        assert width * tables <= bits
+        assert 1 - (1 - agree**width) ** (tables * rotations) >= embedding_dedup.TARGET_RECALL
+
+
+def test_near_vectors_around_a_common_mean(spark):
+    """Centred on the mean, near pairs are far apart in angle."""
+    rng = np.random.default_rng(3)
+    x = 0.35 * rng.normal(size=(400, 32)) / np.sqrt(32)
+    x[:, 0] += 1
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    links, n = brute_vectors(rows)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert len(links) > 1000
+    assert sum(got.values()) >= 0.995 * sum(n)
+    assert all(got[i] <= k for i, k in enumerate(n))
