@@ -66,14 +66,13 @@ def neighbor_history(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return courses, timeline.period_outcomes(rows, TERM, ["unit"], "row_id", "credits", "mark", "passed", "failed")
 
 
-def recommend(spark: SparkSession, sf_dir: str, n_plans: int = 60, k: int = 5) -> DataFrame:
-    """The best plans of every fiftieth entity: candidates scored by frozen statistics, evidence of nearest entities, composite rank."""
+def recommend(spark: SparkSession, sf_dir: str, n_plans: int = 500, k: int = 5) -> DataFrame:
+    """The best plans of every entity: candidates scored by frozen statistics, evidence of nearest entities, composite rank."""
     rows = binding.attempted(spark, sf_dir)
     state = difficulty.fit(rows)
-    asked = rows.where("entity % 50 = 0")
-    snapshot = timeline.latest_by(binding.terms(spark, sf_dir).where("entity % 50 = 0"), ["entity"], [F.col("period").desc(), F.col("program")])
-    options = asked.select("entity", "item", "category", "credits", "unit").distinct()
-    frame = planning.candidate_frame(snapshot.select("entity", "program", "period", "gpa"), options, asked, "entity", "item", "period", "credits")
+    snapshot = timeline.latest_by(binding.terms(spark, sf_dir), ["entity"], [F.col("period").desc(), F.col("program")])
+    options = rows.select("entity", "item", "category", "credits", "unit").distinct()
+    frame = planning.candidate_frame(snapshot.select("entity", "program", "period", "gpa"), options, rows, "entity", "item", "period", "credits")
     scored = difficulty.apply_state(frame, state).select("entity", "program", "item", "credits", F.col("pass_rate").alias("pass_prob"), F.col("mean_mark").alias("pred_mark"))
     scored = joins.range_lookup(scored, "pred_mark", binding.grade_scale(spark), "low", {"points": "points"}, (0, 100)).withColumn("points", F.col("points") / 100)
     plans = planning.candidate_plans(scored, "entity", "item", "credits", "pass_prob", n_plans)

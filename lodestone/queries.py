@@ -788,14 +788,13 @@ def knn_kd(spark, sf):
 
 
 def _candidates(spark, sf):
-    e = binding.enrolment(spark, sf).where("entity % 50 = 0")
-    per = e.groupBy("entity", "item", "credits").agg(F.max("score100").alias("s"), F.max("mark").alias("m"))
+    per = binding.enrolment(spark, sf).groupBy("entity", "item", "credits").agg(F.max("score100").alias("s"), F.max("mark").alias("m"))
     return per.select("entity", "item", "credits", (F.col("s") / 100).alias("probability"), F.col("m").alias("predicted"))
 
 
 @query()
 def plan_enumerate(spark, sf):
-    return planning.candidate_plans(_candidates(spark, sf), "entity", "item", "credits", "probability", 100)
+    return planning.candidate_plans(_candidates(spark, sf), "entity", "item", "credits", "probability")
 
 
 @query(
