@@ -72,16 +72,37 @@ def _stream(rows: list[tuple]) -> pd.DataFrame:
 
 
 def read_token_files(spark: SparkSession, path: str, dtype: str = DTYPE, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """``file, block, data`` of flat binary files on any store that Spark reads (a file has at most 2 GB)."""
-    step = np.dtype(dtype).itemsize * block_ids
+    """``file, block, data`` of flat binary files of any size; a folder's files, or those of a pattern.
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for file, content in zip(b["path"], b["content"], strict=True):
-                for k in range(0, -(-len(content) // step)):
-                    yield pd.DataFrame({"file": [file], "block": [k], "data": [content[k * step : (k + 1) * step]]})
+    Spark lists names and sizes only; each block is read by itself, as a range
+    of bytes, through ``pyarrow.fs`` (local or shared folders, HDFS, object
+    stores).  Bytes behind a file's last whole id raise.
+    """
+    width = np.dtype(dtype).itemsize
+    step = width * block_ids
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cut, "file string, block long, data binary")
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        name, opened = None, None
+        for b in batches:
+            for file, block, length in zip(b["file"], b["block"].tolist(), b["length"].tolist(), strict=True):
+                if length % width:
+                    raise ValueError(f"{file} ends within an id")
+                if file != name:
+                    if opened is not None:
+                        opened.close()
+                    store, inside = fs.FileSystem.from_uri(file if "://" in file else file.replace(":/", ":///", 1))
+                    name, opened = file, store.open_input_file(inside)
+                data = opened.read_at(min(step, length - block * step), block * step)
+                yield pd.DataFrame({"file": [file], "block": [block], "data": [data]})
+        if opened is not None:
+            opened.close()
+
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
+    last = F.floor((F.col("length") - 1) / step).cast("long")
+    blocks = files.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    return blocks.repartition("file", "block").sortWithinPartitions("file", "block").mapInPandas(ranges, "file string, block long, data binary")
 
 
 def count_tokens(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE) -> DataFrame:
