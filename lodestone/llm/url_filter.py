@@ -2,10 +2,12 @@
 
 Rules and listed hosts are kept in one flat file: 64-bit xxhash keys in
 ascending order, and beside them the stored strings.  The driver writes the
-file, Spark ships it to every executor once, and all Python workers of an
-executor map the same pages.  A batch of URLs becomes an array of candidate
+file into the shared folder, Spark ships it to every executor once, and all
+Python workers of an executor map the same pages.  A batch of URLs becomes an array of candidate
 keys that a vectorised binary search probes; a hit counts only if the stored
-string equals the candidate, whatever other strings share its key.
+string equals the candidate, whatever other strings share its key.  A host's
+candidates are its last labels, no more than the longest host of an entry has,
+so a host of any length costs the same.
 
 A rule is ``host`` + ``path`` (``example.com/en/7``).  It fits its host and all
 subdomains if the URL's path starts with the rule's; the longest fitting rule
@@ -14,7 +16,8 @@ decides: listed hosts and their subdomains are blocked, others allowed.
 
 Defined results: a URL that is null or lacks ``://`` has an empty host and path
 and is allowed; repeated rows stay; an empty table gives an empty result; other
-columns of the input are carried on untouched by ``judge_urls``.
+columns of the input are carried on untouched by ``judge_urls``, whose own
+column gets underscores where the input has one of that name.
 """
 
 from __future__ import annotations
@@ -22,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+
 ALLOW, BLOCK, LISTED = 1, 2, 3
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _REST = re.compile(r"([^/?#]*)([^?#]*)")
@@ -50,20 +54,21 @@ def key_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def write_digest_file(entries: list[tuple[str, int]], path: str, key=key_of) -> None:
-    """Sorted keys, string offsets, actions and strings, after a header of three counts."""
+def digest_bytes(entries: list[tuple[str, int]], key=key_of) -> bytes:
+    """Sorted keys, string offsets, actions and strings, after a header: number of entries, of path lengths, most labels of a host."""
     strings = [s.encode("utf-8", "surrogatepass") for s, _ in entries]
     keys = np.array([key(s) for s, _ in entries], dtype=np.uint64)
     order = np.argsort(keys, kind="stable")
     ends = np.cumsum([len(strings[i]) for i in order], dtype=np.uint64)
     lengths = np.array(sorted({len(s) - s.find("/") for s, a in entries if a != LISTED}), dtype=np.uint64)
+    labels = max((1 + s.split("/", 1)[0].count(".") for s, _ in entries), default=0)
+    head = np.array([len(entries), len(lengths), labels], dtype=np.uint64)
+    return b"".join([head.tobytes(), lengths.tobytes(), keys[order].tobytes(), ends.tobytes(), bytes(entries[i][1] for i in order), *[strings[i] for i in order]])
+
+
+def write_digest_file(entries: list[tuple[str, int]], path: str, key=key_of) -> None:
     with open(path, "wb") as f:
-        f.write(np.array([len(entries), len(lengths), 0], dtype=np.uint64).tobytes())
-        f.write(lengths.tobytes())
-        f.write(keys[order].tobytes())
-        f.write(ends.tobytes())
-        f.write(bytes(entries[i][1] for i in order))
-        f.write(b"".join(strings[i] for i in order))
+        f.write(digest_bytes(entries, key))
 
 
 class DigestFile:
@@ -71,7 +76,8 @@ class DigestFile:
 
     def __init__(self, path: str, key=key_of):
         self.key = key
-        n, m, _ = np.fromfile(path, dtype=np.uint64, count=3).astype(int)
+        n, m, labels = np.fromfile(path, dtype=np.uint64, count=3).astype(int)
+        self.most_labels = int(labels)
         self.path_lengths = np.fromfile(path, dtype=np.uint64, count=m, offset=24).astype(int).tolist()
         at = 24 + 8 * m
         self.keys = np.memmap(path, np.uint64, "r", at, (n,)) if n else np.empty(0, np.uint64)
@@ -101,8 +107,8 @@ def _judge(index: DigestFile, urls: list[str | None]) -> pd.DataFrame:
     parts = [split_url(u) for u in urls]
     suffixes = {}
     for host in {h for h, _ in parts}:
-        labels = host.split(".")
-        suffixes[host] = [".".join(labels[i:]) for i in range(len(labels))] if host else []
+        labels = host.rsplit(".", index.most_labels)[-index.most_labels :] if host and index.most_labels else []
+        suffixes[host] = [".".join(labels[i:]) for i in range(len(labels))]
     # each distinct candidate is hashed and probed once a batch
     wanted: dict[str, int] = {}
     per_url: list[list[tuple[int, int, int]]] = []
@@ -132,17 +138,19 @@ def ship_digest_file(spark: SparkSession, entries: list[tuple[str, int]]) -> str
     """Write the digest file and give it to all executors; returns its name among Spark's files."""
     entries = sorted(set(entries))
     name = "urls-" + hashlib.sha256(repr(entries).encode()).hexdigest()[:24] + ".digests"
-    path = os.path.join(tempfile.gettempdir(), name)
-    path = os.path.abspath(path)
-    if not os.path.exists(path):
-        write_digest_file(entries, path + ".part")
-        os.replace(path + ".part", path)
-    spark.sparkContext.addFile(path)
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestone/{sc.applicationId}/{name}")
+    store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        out = store.create(path)
+        out.write(bytearray(digest_bytes(entries)))
+        out.close()
+    sc.addFile(store.makeQualified(path).toString())
     return name
 
 
 def judge_urls(df: DataFrame, rules: list[tuple[str, str]], listed_hosts: tuple[str, ...] = (), url: str = "url", out: str = "judged") -> DataFrame:
-    """``df`` with a struct column ``out`` of host, path, rule and verdict.
+    """``df`` with one more column, a struct of host, path, rule and verdict, named ``out``.
 
     ``rules`` are (``host/path``, ``allow`` or ``block``).  No shuffle.
     """
@@ -157,4 +165,6 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str]], listed_hosts: tuple[
         for urls in batches:
             yield _judge(index, [None if u is None or u != u else u for u in urls])
 
-    return df.withColumn(out, judge(F.col(url)))
+    while out.lower() in [c.lower() for c in df.columns]:
+        out += "_"
+    return df.withColumn(out, judge(F.col(f"`{url}`")))
