@@ -63,24 +63,38 @@ def _blocks(turns: Column) -> Column:
     return let(firsts, lambda at: F.transform(at, lambda first, k: block(first, F.coalesce(F.get(at, k + 1), F.size(turns)))))
 
 
+def _pieces(values: Column) -> Column:
+    """An array cut into about as many arrays as each of them has elements."""
+    n = F.size(values)
+    step = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1))
+    return F.when(n == 0, F.slice(F.array(values), 1, 0)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), lambda c: F.slice(values, c * step + 1, step)))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _sums_before(values: Column) -> Column:
+    """For each element of an array of longs the sum of those before it: piece by piece, so n elements take n * sqrt(n) steps."""
+
+    def of(pieces):
+        totals = F.transform(pieces, _sum)
+        return let(totals, lambda t: F.flatten(F.transform(pieces, lambda p, k: let(_sum(F.slice(t, 1, k)), lambda s: F.transform(p, lambda x, i: s + _sum(F.slice(p, 1, i)))))))
+
+    return let(_pieces(values), of)
+
+
 def _spans(blocks: Column) -> Column:
     """(start, length) of every text under the loss mask, by code points of the output."""
-    empty = F.expr("cast(array() as array<struct<start:int,length:int>>)")
+    long = lambda c: F.length(c).cast("long")
+    size = lambda b: long(b["head"]) + _sum(F.transform(b["parts"], lambda p: long(p) + len(SEP))) + (len(END) - len(SEP))
 
-    def one_part(acc, part, loss):
-        here = F.array(F.struct(acc["pos"].alias("start"), F.length(part).alias("length")))
-        return F.struct(
-            (acc["pos"] + F.length(part) + len(SEP)).alias("pos"),
-            F.when(loss, F.concat(acc["spans"], here)).otherwise(acc["spans"]).alias("spans"),
-        )
+    def of_block(b, start):
+        begins = _sums_before(F.transform(b["parts"], lambda p: long(p) + len(SEP)))
+        here = let(begins, lambda at: F.transform(b["parts"], lambda p, i: F.struct((start + long(b["head"]) + F.get(at, i)).alias("start"), long(p).alias("length"))))
+        return F.when(b["loss"], here).otherwise(F.slice(here, 1, 0))
 
-    def one_block(acc, b):
-        start = F.struct((acc["pos"] + F.length(b["head"])).alias("pos"), acc["spans"].alias("spans"))
-        inside = F.aggregate(b["parts"], start, lambda x, p: one_part(x, p, b["loss"]))
-        return let(inside, lambda x: F.struct((x["pos"] - len(SEP) + len(END)).alias("pos"), x["spans"].alias("spans")))
-
-    zero = F.struct(F.lit(0).alias("pos"), empty.alias("spans"))
-    return F.aggregate(blocks, zero, one_block, lambda x: x["spans"])
+    return let(_sums_before(F.transform(blocks, size)), lambda at: F.flatten(F.transform(blocks, lambda b, k: of_block(b, F.get(at, k)))))
 
 
 def format_chats(
@@ -128,8 +142,18 @@ def parsed_turns(formatted: Column) -> Column:
 
 
 def masked_texts(formatted: Column, loss_spans: Column) -> Column:
-    """The texts under the loss mask, unescaped, in order."""
-    return F.transform(loss_spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["length"])))
+    """The texts under the loss mask, unescaped, in order.
+
+    Positions count code points, so a stretch of spans is cut out first and its
+    spans from that.
+    """
+
+    def of(spans):
+        first, last = F.get(spans, F.lit(0)), F.element_at(spans, -1)
+        stretch = F.substr(formatted, (first["start"] + 1).cast("int"), (last["start"] + last["length"] - first["start"]).cast("int"))
+        return let(stretch, lambda x: F.transform(spans, lambda s: unescape(F.substr(x, (s["start"] - first["start"] + 1).cast("int"), s["length"].cast("int")))))
+
+    return F.flatten(F.transform(_pieces(loss_spans), of))
 
 
 def chat_digest(chats: DataFrame) -> DataFrame:
