@@ -26,7 +26,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.codec_report(piece_codec.encode_documents(table(spark, sf_dir, "documents")))
+    return piece_codec.codec_report(table(spark, sf_dir, "documents"))
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import chat_format, packing, piece_codec, quality_rules, queries, secrets, token_counts, url_filter
 from lodestone.llm.tokens import PieceIds, tokenizer_path
 
@@ -107,11 +109,15 @@ def test_codec_by_chunks_equals_one_pass():
     def by_chunks(text, size):
         t, m = piece_codec.normal(text), pieces.longest
         cut = [(min(size, len(t) - a), t[a : a + size + m]) for a in range(0, len(t), size)]
-        entry = piece_codec.scores_at_cuts([piece_codec.transfer(pieces, c, n) for n, c in cut])
+        solved = [piece_codec.Solved.of(pieces, c, n) for n, c in cut]
+        ends = [n - len(c) + len(x.tail or "") for (n, c), x in zip(cut, solved, strict=True)]
+        entry = [np.array([0.0] + [piece_codec.NONE] * (m - 1))]
+        for c, e in zip(solved, ends, strict=True):
+            entry.append(piece_codec.combine(entry[-1], c.transfer(pieces, e)))
         leave, out = 0, []
-        for (n, c), e in zip(reversed(cut), reversed(entry), strict=True):
-            out.append(piece_codec.chunk_ids(pieces, c, n, e, leave))
-            leave = piece_codec.way_back(pieces, c, n, e)[leave]
+        for c, at, e in zip(reversed(solved), reversed(entry[:-1]), reversed(ends), strict=True):
+            out.append(c.part(pieces, at, leave, e))
+            leave = c.way_back(pieces, at)[leave]
         return b"".join(reversed(out))
 
     for k in range(150):
@@ -189,12 +195,59 @@ def test_codec_equals_the_library_reading_the_pieces_as_unigram(small):
     assert n > 1000 and same >= 0.99 * n
 
 
+def best_score(points, unknown, text):
+    """The best score of a segmentation, from the end of the text to its start."""
+    best = [0.0] * (len(text) + 1)
+    longest = max(map(len, points))
+    for at in range(len(text) - 1, -1, -1):
+        ways = [points[text[at:end]] + best[end] for end in range(at + 1, min(len(text), at + longest) + 1) if text[at:end] in points]
+        best[at] = max(ways if text[at] in points else [*ways, unknown + best[at + 1]])
+    return best[0]
+
+
+@pytest.mark.parametrize("chunk", [700, piece_codec.CHUNK])
+def test_whole_documents_take_the_best_path(spark, tiny, edge, chunk):
+    """Against a dynamic programme over the model's pieces that shares nothing with the operator."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    every = range(model.get_piece_size())
+    kind = ["byte" if model.is_byte(i) else "" if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) else "piece" for i in every]
+    points = {model.id_to_piece(i): model.get_score(i) for i in every if kind[i] == "piece"}
+    unknown = min(points.values()) - 10
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").unionByName(edge.where("doc_id < 6").selectExpr("-doc_id AS doc_id", "text"))
+    encoded = piece_codec.encode_documents(docs, chunk=chunk)
+    want = sorted((str(r.doc_id), r.text or "") for r in docs.collect())
+    assert sorted((str(r.doc_id), r.text) for r in piece_codec.decode_documents(encoded).collect()) == want
+    texts = {d: t for d, t in want}
+    crcs = {str(r.doc_id): r.ids_crc32 for r in piece_codec.codec_report(docs, chunk=chunk).collect()}
+    for r in encoded.collect():
+        text = texts[str(r.doc_id)]
+        marked = "▁" + text.replace(" ", "▁") if text else ""
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        spelled = b"".join(bytes([int(model.id_to_piece(i)[3:5], 16)]) if kind[i] == "byte" else model.id_to_piece(i).encode() for i in ids)
+        assert spelled.decode() == marked
+        # of a character's bytes the first has the score
+        score = sum(points[model.id_to_piece(i)] if kind[i] == "piece" else unknown * (not 0x80 <= int(model.id_to_piece(i)[3:5], 16) < 0xC0) for i in ids)
+        assert score == pytest.approx(best_score(points, unknown, marked), abs=0.5)
+        assert crcs[str(r.doc_id)] == zlib.crc32(r.ids)
+
+
+def test_token_counts_of_the_table_equal_the_library(spark, small):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    tok.encode_special_tokens = True
+    want = sorted((r.doc_id, len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
+    assert sorted(tuple(r) for r in queries.op4_token_counts(spark, small).collect()) == want
+
+
 def test_codec_and_token_counts(spark, small, edge, none):
-    report = {r.doc_id: r for r in piece_codec.codec_report(piece_codec.encode_documents(edge, chunk=1_000)).collect()}
-    assert len(report) == 7 and all(r.same for r in report.values())
-    assert report[1].n_ids == report[2].n_ids == 0
-    whole = {r.doc_id: r.ids_crc32 for r in piece_codec.codec_report(piece_codec.encode_documents(edge, chunk=10**6)).collect()}
-    assert whole == {k: r.ids_crc32 for k, r in report.items()}
+    by_chunks, whole = (sorted((tuple(r) for r in piece_codec.codec_report(edge, chunk=n).collect()), key=str) for n in (1_000, 10**6))
+    assert by_chunks == whole and len(whole) == len(EDGE) and all(r[4] for r in whole)
+    assert [r for r in whole if r[0] in (1, 2)] == [(1, 0, 0, 0, True), (2, 0, 0, 0, True)]
+    assert len([r for r in whole if r[0] == 4]) == 2
+    assert piece_codec.codec_report(none).collect() == []
     assert piece_codec.encode_documents(none).collect() == []
 
     ids = PieceIds(tokenizer_path("word_bpe_49k.json"), special=False)
@@ -264,6 +317,25 @@ def test_url_rules_and_collisions(spark, tmp_path):
     assert [index.string(i) for i in index.find(["b.com/x", "a.com/x"], (1, 2))] == ["b.com/x", "a.com/x"]
 
 
+def test_very_long_urls_and_clashing_columns(spark):
+    host = ".".join("a" * 60_000) + ".example.com"
+    df = spark.createDataFrame([(1, f"http://{host}/en/7/{'x' * 100_000}", "kept"), (2, f"http://{'b.' * 50_000}spam-farm.example.org", "kept")], "page_id long, url string, judged string")
+    out = url_filter.judge_urls(df, queries.URL_RULES, queries.URL_HOSTS)
+    assert out.columns == ["page_id", "url", "judged", "judged_"]
+    got = out.select("page_id", "judged", "judged_.rule", "judged_.verdict", F.length("judged_.host").alias("n")).orderBy("page_id").collect()
+    assert [tuple(r) for r in got] == [(1, "kept", "example.com/en/7", "allow", len(host)), (2, "kept", None, "block", 100_021)]
+
+
+def test_very_long_conversations(spark):
+    n = 20_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é ### "), F.col("id").cast("string")).alias("text"))
+    one_role = rows.withColumn("conv_id", F.lit(2).cast("long")).withColumn("role", F.lit("assistant"))
+    got = {r.conv_id: r for r in chat_format.chat_digest(chat_format.format_chats(rows.unionByName(one_role))).collect()}
+    for conv, loss in ((1, [i for i in range(n) if i % 3]), (2, range(n))):
+        assert got[conv].n_turns == n
+        assert got[conv].loss_sha256 == hashlib.sha256("".join(f"é ### {i}" for i in loss).encode()).hexdigest()
+
+
 def test_chats_round_trip(spark):
     rng = random.Random(1)
     parts = ["### ", "</turn>", "<+>", "\\", "\\\\", ": ", "\n", "#", "<", "ok", "é𝄞", "/turn>", "turn", "+>", " "]
