@@ -60,6 +60,20 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hot_join(rows: DataFrame, side: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """``rows`` with the columns of ``side``, which has one row a key, or none (nulls).
+
+    A counted small side is broadcast.  Otherwise the rows of a key are dealt to
+    ``salts`` tasks, each with its own copy of the side's row.
+    """
+    small = sized(side)
+    if small is not side:
+        return rows.join(small, key, "left")
+    spread = F.sequence(F.lit(0), F.lit(salts - 1))
+    dealt = side.withColumn("_salt", F.explode(spread))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c != key]), F.lit(salts)).cast("int")).join(dealt, [key, "_salt"], "left").drop("_salt")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)``, with ``value`` evaluated once a row."""
     return F.transform(F.array(value), body)[0]

@@ -90,6 +90,17 @@ def pairs_of(tile: pd.DataFrame, compare: Callable[[pd.DataFrame], tuple[np.ndar
     return i, j
 
 
+def found_rows(tile: pd.DataFrame, i: np.ndarray, j: np.ndarray, uid: str, weight: str) -> pd.DataFrame:
+    """Rows (a, null, w) and (a, b, null) of the linked pairs (i, j) of a tile, as ``each_tile`` gives them."""
+    ids, w = tile[uid].to_numpy(np.int64), tile[weight].to_numpy(np.int64)
+    total = np.bincount(i, w[j], len(ids)) + np.bincount(j, w[i], len(ids))
+    has = np.flatnonzero(total)
+    edges = forest(i, j, len(ids))
+    a = np.concatenate([ids[has], ids[[x for x, _ in edges]]])
+    b = pd.array([None] * len(has) + ids[[y for _, y in edges]].tolist(), dtype="Int64")
+    return pd.DataFrame({"a": a, "b": b, "w": pd.array(total[has].astype(np.int64).tolist() + [None] * len(edges), dtype="Int64")})
+
+
 def each_tile(members: DataFrame, key: list[str], compare: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], uid: str = "rid", weight: str = "size") -> DataFrame:
     """Run ``compare`` on every tile of ``dealt`` members.
 
@@ -102,14 +113,6 @@ def each_tile(members: DataFrame, key: list[str], compare: Callable[[pd.DataFram
         if len(tile) < 2:
             return None
         i, j = pairs_of(tile, compare)
-        if not len(i):
-            return None
-        ids, w = tile[uid].to_numpy(np.int64), tile[weight].to_numpy(np.int64)
-        total = np.bincount(i, w[j], len(ids)) + np.bincount(j, w[i], len(ids))
-        has = np.flatnonzero(total)
-        edges = forest(i, j, len(ids))
-        a = np.concatenate([ids[has], ids[[x for x, _ in edges]]])
-        b = pd.array([None] * len(has) + ids[[y for _, y in edges]].tolist(), dtype="Int64")
-        return pd.DataFrame({"a": a, "b": b, "w": pd.array(total[has].astype(np.int64).tolist() + [None] * len(edges), dtype="Int64")})
+        return found_rows(tile, i, j, uid, weight) if len(i) else None
 
     return each_group(members, [*key, "ti", "tj"], one, FOUND)
