@@ -42,10 +42,10 @@ LEVELS = (("lang", "source"), ("lang",), ())
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words covered by three-word windows that occur twice or more."""
+    """Words covered by three-word windows that occur twice or more; windows are told apart by a 64-bit hash."""
 
     def covered(grams):
-        order = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+        order = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
 
         def count(s):
             twice = F.filter(s, lambda x, j: F.coalesce(F.get(s, j - 1)["g"] == x["g"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["g"] == x["g"], F.lit(False)))
@@ -54,7 +54,7 @@ def _repeat_words(words: Column) -> Column:
 
         return F.when(F.size(F.array_distinct(grams)) == F.size(grams), 0).otherwise(let(order, count))
 
-    grams = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    grams = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
     return F.when(F.size(words) < 3, 0).otherwise(let(grams, covered))
 
 
@@ -181,10 +181,10 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns they had.
 
-    The features are computed twice, for the sketches and for the verdicts:
-    texts are neither shuffled nor stored.
+    The features are computed once: the rows are written to the shared folder
+    with their features beside them, and the sketches and verdicts are made from
+    that table.  Rows aren't shuffled.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = _measured(docs, whole).drop("_f")
-    narrow = saved(_measured(docs).drop("_f"), "quality-features")
-    return with_verdict(rows, thresholds(narrow.where(~F.col("base_failed")))).where("kept").select("_row.*")
+    rows = saved(_measured(docs, whole).drop("_f"), "quality-rows")
+    return with_verdict(rows, thresholds(rows.where(~F.col("base_failed")))).where("kept").select("_row.*")
