@@ -376,6 +376,33 @@ def brute_secrets(text):
 KEY = "aB3xY9zQ7LmN2pR5tV8w"
 
 
+def test_ownership_of_the_table_equals_brute_force(spark, small):
+    docs = [(r.doc_id, r.text or "", r.source) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    held, owners = {}, defaultdict(set)
+    for doc, text, source in docs:
+        base = secrets.base_spans(text)
+        held[doc] = [v for *_, v in base], [v for *_, v in secrets.candidate_spans(text, base)]
+        for v in [*held[doc][0], *held[doc][1]]:
+            owners[v].add(source)
+    got = {r.doc_id: (r.n_live, r.n_shared) for r in queries.op9_secret_scans(spark, small).collect()}
+    want = {d: (sum(len(owners[v]) == 1 for v in [*b, *x]), sum(len(owners[v]) > 1 for v in [*b, *x])) for d, (b, x) in held.items()}
+    assert got == want and sum(a + b for a, b in want.values()) > 20
+
+
+def test_secrets_of_a_very_long_text(spark):
+    rng = random.Random(4)
+    token = lambda n: "".join(rng.choice("abcdefXYZ0123456789") for _ in range(n))
+    text = " ".join(f"key {token(24)} token={token(9)} {'%032x' % rng.getrandbits(128)} {'%030x' % rng.getrandbits(120)}Zq9" for _ in range(20_000))
+    base = secrets.base_spans(text)
+    extra = secrets.candidate_spans(text, base)
+    assert len(base) > 55_000 and len(extra) > 30_000
+    named = [(s, e) for s, k, e, _ in base if k < 2]
+    some = rng.sample(extra, 200)
+    assert all(not any(s < x[2] and e > x[0] for s, e in named) for x in some)
+    clean = secrets.redacted(text, [(s, k, e) for s, k, e, _ in [*base, *extra]])
+    assert clean.startswith("key [REDACTED:owned] [REDACTED:assign] [REDACTED:") and not secrets.HEX.search(clean)
+
+
 def test_secrets(spark, small, none):
     rows = {r.doc_id: r for r in queries.op9_secret_scans(spark, small).collect()}
     for r in spark.read.parquet(f"{small}/documents.parquet").collect():
@@ -402,6 +429,11 @@ def test_secrets(spark, small, none):
     assert secrets.redact_secrets(docs).columns == docs.columns
     found = {(r.kind, r.doc_id): r for r in secrets.findings(docs).collect()}
     assert found["owned", 1].live and found["hex", 2].n_owners == 1
+    # ownership decides: without the second owner the shared value is live, and a candidate with one becomes a copied example
+    alone = {r.doc_id: (r.n_live, r.n_shared) for r in secrets.secret_report(docs.where("source = 'a'")).collect()}
+    assert any((got[k].n_live, got[k].n_shared) != v for k, v in alone.items())
+    copied = secrets.secret_report(docs.withColumn("source", F.lit("z")).unionByName(docs)).collect()
+    assert not any("owned" in r.spans or r.n_live for r in copied) and any(r.n_shared for r in copied)
     assert secrets.secret_report(none).collect() == [] and secrets.redact_secrets(none).columns == none.columns
 
 
