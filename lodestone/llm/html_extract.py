@@ -1,20 +1,24 @@
 """Main text of web pages, with wrappers inferred per host.
 
-A page becomes a tree of its block elements.  The trees of a host are aligned
-one after the other into a wrapper, a regular expression without unions: where
-the children of two nodes differ, those that one side lacks become optional,
+A page is a stream of tokens: begins and ends of block elements, and texts.  The
+streams of a host are aligned one after the other into a wrapper, a regular
+expression without unions, level by level, for begins and ends nest: where the
+tokens of two streams differ, those that one side lacks become optional,
 neighbours of one kind become a repeated group, and text that differs becomes a
 slot.  Wrappers of parts of a host merge the same way, so each task makes its
-own and those are merged in two steps; a host with a third of all pages is no
-single task's.  A wrapper says which text of a host's pages is fixed and where
-the slot with most text is.
+own and those are folded in two steps, by tasks that hold two wrappers of
+bounded size at a time; a host with a third of all pages is no single task's.  A
+wrapper says which text of a host's pages is fixed and where the slot with most
+text is.
 
 A page's text is that of the region which the host's wrapper names, without the
 wrapper's fixed texts.  ``article`` and ``main`` elements are evidence when the
 wrapper is weighed: their slots count ``SEMANTIC`` times.  Where a page lacks the
 region, its text is that of its own such elements, or else of the body.  Menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are left out by element, role and class name wherever they stand.
+comments are left out by element and role wherever they stand, and by class or
+id if all its words name such a thing or a part of a page, or its first or last
+word can hardly mean anything else: ``share-buttons`` goes, ``share-price`` stays.
 
 Defined results: null or empty html has an empty text; pages without a host
 share one wrapper; repeated rows stay; unclosed and stray tags are allowed;
@@ -49,6 +53,11 @@ BOILER_ROLES = frozenset("navigation banner contentinfo complementary search for
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+# Words that name such a thing even beside unknown ones, and words for parts of a page.
+STRONG_WORDS = frozenset("advert adverts advertisement breadcrumb breadcrumbs comments cookie cookies disqus footer masthead navbar navigation newsletter sidebar".split())
+LAYOUT_WORDS = frozenset(
+    "area articles bar block body bottom box button buttons container content div group icons inner item items left link links list lists main middle module outer page panel post posts primary right row secondary section site slot text title top unit wrap wrapper".split()
+)
 HEADER_WORDS, CONTENT_WORDS = frozenset(["header", "topbar"]), frozenset("article content entry post story".split())
 
 MAX_NODES = 2_000  # of a wrapper; beyond it, the items of fewest pages become text slots of what holds them
@@ -95,18 +104,32 @@ def _attrs(text: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(text)} if "=" in text else {}
 
 
-def _is_boiler(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
-    if tag in BOILER_TAGS or tag == "header" and not in_main or attrs.get("role") in BOILER_ROLES:
-        return True
-    words = set(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")) if "class" in attrs or "id" in attrs else ()
-    if not words or tag in ("body", "html", "article", "main") and not words & {"comment", "comments"}:
+def _boiler_name(name: str) -> bool:
+    """Whether a class or id names what is never main text."""
+    words = _WORD.findall(name)
+    if not words:
         return False
-    return bool(words & BOILER_WORDS) or bool(words & HEADER_WORDS) and not words & CONTENT_WORDS
+    if words[0] in STRONG_WORDS or words[-1] in STRONG_WORDS:
+        return True
+    some, known = {w for w in words if w in BOILER_WORDS}, all(len(w) < 3 or w in BOILER_WORDS or w in LAYOUT_WORDS or w in HEADER_WORDS for w in words)
+    return known and bool(some or HEADER_WORDS.intersection(words) and not CONTENT_WORDS.intersection(words))
+
+
+def _is_boiler(tag: str, names: list[str], role: str | None, in_main: bool) -> bool:
+    if tag in BOILER_TAGS or tag == "header" and not in_main or role in BOILER_ROLES:
+        return True
+    if tag in ("body", "html", "article", "main"):
+        return any({"comment", "comments"}.intersection(_WORD.findall(n)) for n in names)
+    return any(map(_boiler_name, names))
+
+
+def _names(attrs: dict[str, str]) -> list[str]:
+    return [attrs[k] for k in ("class", "id") if attrs.get(k)]
 
 
 def _named_boiler(sig: str, in_main: bool = False) -> bool:
     tag, *names = sig.split(".")
-    return _is_boiler(tag, {"class": " ".join(names)}, in_main)
+    return _is_boiler(tag, [n for n in names if not n.startswith("role-")], next((n[5:] for n in names if n.startswith("role-")), None), in_main)
 
 
 def _kind(sig: str) -> str:
@@ -159,7 +182,7 @@ class Page:
                 self._imply(tag, stack)
             _, _, dropped, main, node, path = stack[-1]
             attrs = _attrs(m[3])
-            dropped = dropped or _is_boiler(tag, attrs, main)
+            dropped = dropped or _is_boiler(tag, _names(attrs), attrs.get("role"), main)
             main = main or tag in ("article", "main") or attrs.get("role") in ("main", "article")
             if tag in RAW:
                 close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
@@ -372,19 +395,56 @@ def bounded(wrapper: Node) -> Node:
     return wrapper
 
 
-def merge_wrappers(trees: list[list]) -> Node:
-    """The wrapper of packed trees: those of one shape first, then the shapes in their order, so it doesn't depend on how pages were dealt."""
-    shapes: dict[str, Node] = {}
-    for n in map(Node.unpack, trees):
-        at = n.shape()
-        if at in shapes:
-            _merge(shapes[at], n)
+class Fold:
+    """The wrapper of trees that come in the order of their shapes: those of one shape first, so it doesn't depend on how pages were dealt."""
+
+    def __init__(self):
+        self.done: Node | None = None
+        self.shape, self.same = "", None
+
+    def add(self, shape: str, tree: Node) -> None:
+        if self.same is not None and shape == self.shape:
+            _merge(self.same, tree)
         else:
-            shapes[at] = n
-    first, *others = [shapes[at] for at in sorted(shapes)]
-    for n in others:
-        first = bounded(_merge(first, n))
-    return first
+            self.result()
+            self.shape, self.same = shape, tree
+
+    def result(self) -> Node | None:
+        if self.same is not None:
+            self.done = self.same if self.done is None else bounded(_merge(self.done, self.same))
+            self.same = None
+        return self.done
+
+
+def merge_wrappers(trees: list[list]) -> Node:
+    """The wrapper of packed trees."""
+    fold = Fold()
+    for n in sorted(map(Node.unpack, trees), key=Node.shape):
+        fold.add(n.shape(), n)
+    return fold.result()
+
+
+def _folded(trees: DataFrame, by: list[str]) -> DataFrame:
+    """``host, shape, tree``: one wrapper for the trees of each ``by``, which are streamed in the order of their shapes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, fold = None, Fold()
+
+        def out() -> pd.DataFrame:
+            node = fold.result()
+            return pd.DataFrame({"host": [key[0]], "shape": [node.shape()], "tree": [json.dumps(node.pack())]})
+
+        for b in batches:
+            for at, shape, tree in zip(zip(*[b[c] for c in by], strict=True), b["shape"], b["tree"], strict=True):
+                if at != key:
+                    if key is not None:
+                        yield out()
+                    key, fold = at, Fold()
+                fold.add(shape, Node.unpack(json.loads(tree)))
+        if key is not None:
+            yield out()
+
+    return trees.repartition(*by).sortWithinPartitions(*by, "shape").mapInPandas(run, "host string, shape string, tree string")
 
 
 def expression(node: Node) -> str:
@@ -448,15 +508,15 @@ def _host(url) -> str:
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``host, n_pages, wrapper`` (packed tree), one row a host, over all its pages."""
+    """``host, tree`` (the packed wrapper), one row a host, over all its pages."""
 
     def of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[str, str], Node] = {}
 
         def out() -> pd.DataFrame:
-            rows = [(h, xxhash.xxh32_intdigest(s) % 16, json.dumps(n.pack())) for (h, s), n in held.items()]
+            rows = [(h, xxhash.xxh32_intdigest(s) % 16, s, json.dumps(n.pack())) for (h, s), n in held.items()]
             held.clear()
-            return pd.DataFrame(rows, columns=["host", "salt", "tree"])
+            return pd.DataFrame(rows, columns=["host", "salt", "shape", "tree"])
 
         for b in batches:
             for u, source in zip(b["url"], b["html"], strict=True):
@@ -471,13 +531,8 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
         if held:
             yield out()
 
-    def merged(group: pd.DataFrame) -> pd.DataFrame:
-        node = merge_wrappers([json.loads(t) for t in group["tree"]])
-        return pd.DataFrame({"host": [group["host"].iat[0]], "tree": [json.dumps(node.pack())]})
-
-    trees = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(of_task, "host string, salt int, tree string")
-    parts = trees.groupBy("host", "salt").applyInPandas(merged, "host string, tree string")
-    return parts.groupBy("host").applyInPandas(merged, "host string, tree string")
+    trees = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(of_task, "host string, salt int, shape string, tree string")
+    return _folded(_folded(trees, ["host", "salt"]), ["host"]).select("host", "tree")
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

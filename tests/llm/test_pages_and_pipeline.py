@@ -50,6 +50,22 @@ def test_wrapper_is_union_free_and_finds_the_region():
     assert expression(merge_wrappers([a.pack(), b.pack()])) == expression(wrapper)
 
 
+def test_class_names_take_no_text_that_they_might_not_mean():
+    kept = '<article><p>Study of <div class="social science">social groups</div> and <div class="share-price">share prices</div><div class="notice-of-law">kept?</div> end'
+    assert Page(kept).main_text(None) == "Study of social groups and share prices kept? end"
+    gone = '<article><p>a<div class="share-buttons">x</div><div class="ad">x</div><div id="acme-sidebar">x</div><div class="cookie-xyz">x</div><section class="comments-area">x</section> b'
+    assert Page(gone).main_text(None) == "a b"
+
+
+def test_a_spoilt_wrapper_changes_texts(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet").collect()
+    spoilt = {"main": ["html", "body", "footer"], "semantic": False, "fixed": ["#page", "", []]}
+    nav = {"main": ["html", "body"], "semantic": False, "fixed": ["#page", "", []]}
+    assert all(Page(p.html).main_text(spoilt) == plain_article(p.html) for p in pages)  # a region that they lack
+    stories = [f"<body><div class=text><h1>{w}</h1><p>{w * 70}</p></div><div class=legal>All rights {w}</div></body>" for w in "abcdefgh"]
+    assert all("All rights" not in Page(p).main_text(rule_of(stories)) and "All rights" in Page(p).main_text(nav) for p in stories)
+
+
 def rule_of(sources):
     return wrapper_rule(merge_wrappers([tidy(Page(s).root).pack() for s in sources]))
 
