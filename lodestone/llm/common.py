@@ -20,17 +20,20 @@ _OWN_DIRS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (a local test) a temporary folder is set once
-    per application.
+    Where neither the session nor its context names one, a local session gets a
+    temporary folder, once per application; on a cluster that raises, as
+    executors wouldn't see it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(_OWN_DIRS[app])
-    return _OWN_DIRS[app]
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if sc.applicationId not in _OWN_DIRS:
+        _OWN_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="lodestone-")
+        sc.setCheckpointDir(_OWN_DIRS[sc.applicationId])
+    return _OWN_DIRS[sc.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
