@@ -11,6 +11,7 @@ from .functions import clean, text
 from .operators import buckets, cascade, difficulty, expect, joins, matching, metrics, neighbors, parity, peers, profile, timeline
 from .plans import binding, planning
 from .plans.binding import TERM, TIMELINE, table
+from .sources.scratch import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -412,7 +413,13 @@ def predecessor_blend(spark, sf):
 # Hierarchical statistics
 
 _SUMS = "count(mark) AS n_mark, CAST(count(*) FILTER (WHERE mark >= 50) AS BIGINT) AS s_pass, CAST(coalesce(sum(mark), 0) AS BIGINT) AS s_mark, count(attempt) AS n_attempt, CAST(count(*) FILTER (WHERE attempt > 1) AS BIGINT) AS s_retake"
-_KEYED = "keyed AS (SELECT *, program || '__' || item AS k1, item AS k2, program || '__' || category || '__' || credits AS k3, unit || '__' || category || '__' || credits AS k4, category || '__' || credits AS k5 FROM attempted)"
+_KEYED = "keyed AS (SELECT *, program || '__' || item AS k1, item AS k2, program || '__' || category || '__' || credits AS k3, unit || '__' || category || '__' || credits AS k4, category || '__' || credits AS k5 FROM (SELECT * REPLACE ((program + line * line) % 5 AS unit) FROM attempted))"
+
+
+def _with_units(spark, sf):
+    """The attempts, with several units a program, read once."""
+    rows = binding.attempted(spark, sf).withColumn("unit", (F.col("program") + F.col("line") * F.col("line")) % 5)
+    return kept(rows.select("row_id", "entity", "program", "item", "unit", "category", "credits", "period", "brand", "mark", "attempt"), "attempts")
 
 
 def _shrink(p: str) -> str:
@@ -438,13 +445,15 @@ def _pick(names: str = "pass_rate mean_mark retake_rate") -> str:
 g0 AS (SELECT {_SUMS} FROM h), g AS (SELECT *, s_pass / n_mark::DOUBLE AS pass_rate, s_mark / n_mark::DOUBLE AS mean_mark, s_retake / n_attempt::DOUBLE AS retake_rate FROM g0),
 t5 AS (SELECT k5, n_mark, {_shrink('g')} FROM (SELECT k5, {_SUMS} FROM h GROUP BY k5) x, (SELECT pass_rate, mean_mark, retake_rate FROM g) g),
 t4 AS (SELECT k4, x.n_mark, {_shrink('t5').replace('n_mark +', 'x.n_mark +')} FROM (SELECT k4, min(k5) AS p, {_SUMS} FROM h GROUP BY k4) x JOIN t5 ON t5.k5 = x.p),
-t3 AS (SELECT k3, x.n_mark, {_shrink('t4').replace('n_mark +', 'x.n_mark +')} FROM (SELECT k3, min(k4) AS p, {_SUMS} FROM h GROUP BY k3) x JOIN t4 ON t4.k4 = x.p),
+u AS (SELECT program, unit FROM (SELECT program, unit, row_number() OVER (PARTITION BY program ORDER BY count(*) DESC, unit) AS k FROM h GROUP BY program, unit) WHERE k = 1),
+t3 AS (SELECT k3, x.n_mark, (s_pass + 20 * coalesce(t4.pass_rate, g.pass_rate)) / (x.n_mark + 20) AS pass_rate, (s_mark + 20 * coalesce(t4.mean_mark, g.mean_mark)) / (x.n_mark + 20) AS mean_mark, (s_retake + 20 * coalesce(t4.retake_rate, g.retake_rate)) / (n_attempt + 20) AS retake_rate
+  FROM (SELECT k3, min(u.unit || '__' || k5) AS p, {_SUMS} FROM h JOIN u ON u.program = h.program GROUP BY k3) x LEFT JOIN t4 ON t4.k4 = x.p, (SELECT pass_rate, mean_mark, retake_rate FROM g) g),
 t2 AS (SELECT k2, n_mark, {_shrink('g')} FROM (SELECT k2, {_SUMS} FROM h GROUP BY k2) x, (SELECT pass_rate, mean_mark, retake_rate FROM g) g),
 t1 AS (SELECT k1, x.n_mark, {_shrink('t2').replace('n_mark +', 'x.n_mark +')} FROM (SELECT k1, min(k2) AS p, {_SUMS} FROM h GROUP BY k1) x JOIN t2 ON t2.k2 = x.p)
 SELECT row_id, {_pick()} FROM keyed k LEFT JOIN t1 ON t1.k1 = k.k1 LEFT JOIN t2 ON t2.k2 = k.k2 LEFT JOIN t3 ON t3.k3 = k.k3 LEFT JOIN t4 ON t4.k4 = k.k4 LEFT JOIN t5 ON t5.k5 = k.k5, g"""
 )
 def difficulty_frozen(spark, sf):
-    rows = binding.attempted(spark, sf)
+    rows = _with_units(spark, sf)
     state = difficulty.fit(rows.where("period <= 19972 and brand <> 7"))
     return difficulty.apply_state(rows, state).select("row_id", *r6("pass_rate", "mean_mark", "retake_rate"), "level", "group_support", "item_support", "is_new", "is_low_support", "is_weak")
 
@@ -466,15 +475,25 @@ gc AS (SELECT period, sum(n_mark) OVER b AS n_mark, sum(s_pass) OVER b AS s_pass
 g AS (SELECT period, n_mark, s_pass / n_mark::DOUBLE AS pass_rate, s_mark / n_mark::DOUBLE AS mean_mark, s_retake / n_attempt::DOUBLE AS retake_rate FROM gc WHERE n_mark > 0),
 {_temporal_level(5, 'g', '')},
 {_temporal_level(4, 't5', " AND p.k5 = regexp_extract(x.key, '__(.*)$', 1)")},
-u AS (SELECT k3 AS key3, min(k4) AS k4 FROM keyed GROUP BY k3),
-{_temporal_level(3, '(SELECT t4.*, key3 FROM t4 JOIN u ON u.k4 = t4.k4)', ' AND p.key3 = x.key')},
+uc AS (SELECT program, unit, period, count(*) AS n FROM keyed WHERE entity % 10 <> 0 GROUP BY ALL),
+ub AS (SELECT a.program, a.period, c.unit, sum(c.n) AS n FROM (SELECT DISTINCT program, period FROM keyed) a JOIN uc c ON c.program = a.program AND c.period < a.period GROUP BY ALL),
+u AS (SELECT program, period, unit FROM (SELECT *, row_number() OVER (PARTITION BY program, period ORDER BY n DESC, unit) AS k FROM ub) WHERE k = 1),
+ak AS (SELECT DISTINCT k.k3 AS key3, k.period, u.unit || '__' || k.k5 AS kp, k.k5 FROM keyed k LEFT JOIN u ON u.program = k.program AND u.period = k.period),
+d4p AS (SELECT key, period, sum(n_mark) AS n_mark, sum(s_pass) AS s_pass, sum(s_mark) AS s_mark, sum(n_attempt) AS n_attempt, sum(s_retake) AS s_retake, max(seen) AS seen FROM (
+  SELECT k4 AS key, period, {_SUMS}, 1 AS seen FROM keyed WHERE entity % 10 <> 0 GROUP BY ALL UNION ALL SELECT DISTINCT kp, period, 0, 0, 0, 0, 0, 0 FROM ak WHERE kp IS NOT NULL) GROUP BY key, period),
+c4p AS (SELECT key, period, max(seen) OVER b AS seen, sum(n_mark) OVER b AS n_mark, sum(s_pass) OVER b AS s_pass, sum(s_mark) OVER b AS s_mark, sum(n_attempt) OVER b AS n_attempt, sum(s_retake) OVER b AS s_retake
+  FROM d4p WINDOW b AS (PARTITION BY key ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t4p AS (SELECT x.key, x.period, (x.s_pass + 20 * p.pass_rate) / (x.n_mark + 20) AS pass_rate, (x.s_mark + 20 * p.mean_mark) / (x.n_mark + 20) AS mean_mark, (x.s_retake + 20 * p.retake_rate) / (x.n_attempt + 20) AS retake_rate
+  FROM c4p x JOIN t5 p ON p.period = x.period AND p.k5 = regexp_extract(x.key, '__(.*)$', 1) WHERE x.seen = 1),
+p3 AS (SELECT ak.key3, ak.period, coalesce(t4p.pass_rate, g.pass_rate) AS pass_rate, coalesce(t4p.mean_mark, g.mean_mark) AS mean_mark, coalesce(t4p.retake_rate, g.retake_rate) AS retake_rate FROM ak JOIN g ON g.period = ak.period LEFT JOIN t4p ON t4p.key = ak.kp AND t4p.period = ak.period),
+{_temporal_level(3, 'p3', ' AND p.key3 = x.key')},
 {_temporal_level(2, 'g', '')},
 {_temporal_level(1, 't2', " AND p.k2 = regexp_extract(x.key, '__(.*)$', 1)")}
 SELECT row_id, {_pick()} FROM keyed k LEFT JOIN t1 ON t1.k1 = k.k1 AND t1.period = k.period LEFT JOIN t2 ON t2.k2 = k.k2 AND t2.period = k.period LEFT JOIN t3 ON t3.k3 = k.k3 AND t3.period = k.period
 LEFT JOIN t4 ON t4.k4 = k.k4 AND t4.period = k.period LEFT JOIN t5 ON t5.k5 = k.k5 AND t5.period = k.period LEFT JOIN g ON g.period = k.period"""
 )
 def difficulty_temporal(spark, sf):
-    rows = binding.attempted(spark, sf)
+    rows = _with_units(spark, sf)
     out = difficulty.temporal(rows, rows.where("entity % 10 <> 0"))
     return out.select("row_id", *r6("pass_rate", "mean_mark", "retake_rate"), "level", "group_support", "item_support", "is_new", "is_low_support", "is_weak")
 
@@ -764,7 +783,7 @@ def knn_1d_topk(spark, sf):
 @query(
     f"""{_POINTS}, d AS (SELECT q.program, q.entity, abs(p.gpa - q.gpa) AS distance, p.n_items, CAST(p.pass_credits < p.reg_credits AS INTEGER) AS failed, row_number() OVER (PARTITION BY q.program, q.entity ORDER BY abs(p.gpa - q.gpa), p.period, p.entity) AS rank
 FROM pts q JOIN pts p ON p.program = q.program AND p.entity <> q.entity WHERE q.entity % 10 = 0)
-SELECT program, entity, count(*) AS support, round(median(round(distance, 4)), 4) AS median_distance, round(avg(failed), 6) AS p_failed, round(avg(n_items), 6) AS mean_n_items, CAST(avg(failed) > 0.5 AS INTEGER) AS class_failed, CAST(count(*) >= 20 AS INTEGER) AS full_k FROM d WHERE rank <= 20 GROUP BY ALL"""
+SELECT program, entity, count(*) AS support, round(median(round(distance, 4)), 6) AS median_distance, round(avg(failed), 6) AS p_failed, round(avg(n_items), 6) AS mean_n_items, CAST(avg(failed) > 0.5 AS INTEGER) AS class_failed, CAST(count(*) >= 20 AS INTEGER) AS full_k FROM d WHERE rank <= 20 GROUP BY ALL"""
 )
 def knn_level_predict(spark, sf):
     p = _points(spark, sf)
@@ -772,7 +791,7 @@ def knn_level_predict(spark, sf):
     near = neighbors.nearest_1d(q, p, ["program"], "gpa", "query", "entity", "period", 20).withColumn("distance", F.round("distance", 4))
     facts = p.select("program", F.col("entity").alias("neighbor_entity"), (F.col("pass_credits") < F.col("reg_credits")).cast("int").alias("failed"), "n_items")
     out = neighbors.predict(near, facts, ["program", "neighbor_entity"], ["program", "query"], ["failed"], ["n_items"])
-    return out.select("program", F.col("query").alias("entity"), "support", F.round("median_distance", 4).alias("median_distance"), *r6("p_failed", "mean_n_items"), "class_failed", "full_k")
+    return out.select("program", F.col("query").alias("entity"), "support", F.round("median_distance", 6).alias("median_distance"), *r6("p_failed", "mean_n_items"), "class_failed", "full_k")
 
 
 @query(

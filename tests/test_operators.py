@@ -41,11 +41,12 @@ def _accumulated(history, queries, k=20.0):
         return {1: f"{r['program']}__{r['item']}", 2: r["item"], 3: f"{r['program']}__{r['category']}__{c}", 4: f"{r['unit']}__{r['category']}__{c}", 5: f"{r['category']}__{c}"}
 
     out = []
-    usual = defaultdict(lambda: defaultdict(int))
-    for r in history:
-        usual[r["program"]][r["unit"]] += 1
-    usual = {p: min(u, key=lambda x: (-u[x], x)) for p, u in usual.items()}
     for q in queries:
+        usual = defaultdict(lambda: defaultdict(int))
+        for r in history:
+            if r["period"] < q["period"]:
+                usual[r["program"]][r["unit"]] += 1
+        usual = {p: min(u, key=lambda x: (-u[x], x)) for p, u in usual.items()}
         tabs, whole = {i: defaultdict(lambda: [0, 0, 0]) for i in range(1, 6)}, [0, 0, 0]
         for r in history:
             if r["period"] < q["period"]:
@@ -91,9 +92,14 @@ def test_temporal_statistics_equal_an_accumulator_and_ignore_the_future(spark):
         assert r["level"] == level
         assert rate is None and r["pass_rate"] is None or r["pass_rate"] == pytest.approx(rate, abs=1e-12)
         assert (support or 0) == r["group_support"]
-    future = df.withColumn("mark", F.when(F.col("period") > 5, 100 - F.col("mark")).otherwise(F.col("mark")))
+    future = df.withColumns({c: F.when(F.col("period") > 5, x).otherwise(F.col(c)) for c, x in (("mark", 100 - F.col("mark")), ("unit", F.lit(3)), ("program", F.col("program") % 2 + 1))})
     again = {r["row"]: r for r in difficulty.temporal(future, future).where("period <= 6").collect()}
-    assert all(again[k]["pass_rate"] == got[k]["pass_rate"] for k in again)
+    assert all(again[k]["pass_rate"] == got[k]["pass_rate"] for k in again if again[k]["period"] <= 5)
+    units = df.groupBy("program").agg(F.count_distinct("unit").alias("n")).where("n > 1").count()
+    assert 0 < difficulty.unit_changes(df).count() <= units
+    with pytest.raises(expect.ExpectationError):
+        difficulty.temporal(df, df, checked=True)
+    difficulty.require_stable_units(df.withColumn("unit", F.col("program")))
 
 
 def test_frozen_state_is_saved_and_applied(spark, tmp_path):
