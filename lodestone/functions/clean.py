@@ -10,6 +10,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: the key of what has none.
 MISSING_KEY = "__MISSING__"
 # Text that stands for nothing.
 NULL_TOKENS = ("", "nan", "none", "null", "<na>")
@@ -52,7 +53,7 @@ def clean_id(c: Column) -> Column:
 
 def clean_numeric_id(c: Column) -> Column:
     """Identifier text of a number, written without an exponent."""
-    return clean_id(F.regexp_replace(c.cast("decimal(38,6)").cast("string"), r"(\.\d*?)0+$", "$1")).alias("id")
+    return F.regexp_replace(c.cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
 
 
 def light_id(c: Column) -> Column:

@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import sized
 from .expect import ExpectationError, require_unique
 
+CASES = 200  # bounds of a scale that are written out
+
 
 def many_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", indicator: str | None = None, checked: bool = False, suffix: str = "_r") -> DataFrame:
     """Join that neither repeats nor (by default) drops rows of ``left``; with ``checked`` a job makes sure.
@@ -83,18 +86,37 @@ def as_of(queries: DataFrame, history: DataFrame, keys: Sequence[str], period: s
 
 
 def range_lookup(df: DataFrame, value: str, scale: DataFrame, low: str, out: dict[str, str], clip: tuple[float, float] | None = None) -> DataFrame:
-    """Value to interval by lower bounds: a small scale is broadcast and probed as half-open ranges."""
+    """Value to interval by lower bounds, half-open; NULL below the first.
+
+    The scale is read at once: up to ``CASES`` bounds become one CASE a column,
+    so rows aren't joined at all; a larger one is broadcast by ``sized`` and
+    met by a range join.
+    """
     v = F.greatest(F.least(F.col(value), F.lit(clip[1])), F.lit(clip[0])) if clip else F.col(value)
+    rows = scale.select(low, *out).where(F.col(low).isNotNull()).limit(CASES + 1).collect()
+    known = F.col(value).isNotNull()
+    if len(rows) <= CASES:
+        rows = sorted(rows, key=lambda r: r[0], reverse=True)
+        found = {}
+        for k, (column, name) in enumerate(out.items(), 1):
+            case = F.lit(None).cast(scale.schema[column].dataType)
+            for r in reversed(rows):
+                case = F.when(known & (v >= F.lit(r[0])), F.lit(r[k]).cast(scale.schema[column].dataType)).otherwise(case)
+            found[name] = case
+        return df.withColumns(found)
     bounds = scale.select(F.col(low).alias("_lo"), F.lead(low).over(Window.orderBy(low)).alias("_hi"), *[F.col(c).alias(n) for c, n in out.items()])
     on = (v >= F.col("_lo")) & (F.col("_hi").isNull() | (v < F.col("_hi")))
-    return df.join(F.broadcast(bounds), F.when(F.col(value).isNotNull(), on).otherwise(F.lit(False)), "left").drop("_lo", "_hi")
+    return df.join(sized(bounds), F.when(known, on).otherwise(F.lit(False)), "left").drop("_lo", "_hi")
 
 
-def reuse_tiers(rows: DataFrame, known: DataFrame, base: Sequence[str], full: Sequence[str], outputs: Sequence[str]) -> DataFrame:
+def reuse_tiers(rows: DataFrame, known: DataFrame, base: Sequence[str], full: Sequence[str], outputs: Sequence[str], checked: bool = False) -> DataFrame:
     """Outputs of ``known`` rows where they agree by ``base`` key, else by ``full`` key, else the row's own.
 
-    Adds ``reuse`` (base, full, own).  Raises nothing; ``tier_conflicts`` shows full keys that disagree.
+    Adds ``reuse`` (base, full, own).  With ``checked`` a job raises where full
+    keys disagree, which ``tier_conflicts`` shows.
     """
+    if checked and (bad := tier_conflicts(known, full, outputs).limit(5).collect()):
+        raise ExpectationError(f"known outputs disagree by {list(full)}: {[r.asDict() for r in bad]}")
     value = F.struct(*outputs)
     side = lambda keys, name: known.groupBy(*keys).agg(F.count_distinct(value).alias("_n"), F.min(value).alias(name)).where("_n = 1").drop("_n")
     out = rows.join(side(base, "_b"), list(base), "left").join(side(full, "_f"), list(full), "left")

@@ -14,6 +14,12 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"))
 
 
+def portable_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row that any engine can compute: count, and the sum of 60 bits of each row's MD5 over its known values."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns])), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n"), F.sum(h).cast("string").alias("total"))
+
+
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that one side has more often, with ``side``."""
     left, right = a.exceptAll(b), b.exceptAll(a)

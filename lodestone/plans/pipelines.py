@@ -54,8 +54,9 @@ def build_peers(registrations: DataFrame, targets: DataFrame, catalogue: DataFra
 
 
 def trend_dataset(items: DataFrame, periods: DataFrame) -> DataFrame:
-    """Items with the trend of their timeline; every item must find its period."""
+    """Items with the trend of their timeline; raises if an item's period isn't found."""
     h = timeline.add_history(periods, TIMELINE, "period").select(*TERM, "last_valid", "second_last_valid", "trend")
+    joins.require_covered(items, h, TERM, "items")
     return joins.many_to_one(items, h, TERM, "inner")
 
 
