@@ -51,6 +51,7 @@ def enrolment(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("flag"),
         F.col("l_linenumber").alias("line"),
         ((F.col("l_partkey") * 7 + F.col("l_suppkey") * 3 + F.col("l_quantity").cast("long") * 2) % 101).cast("int").alias("score100"),
+        F.col("l_partkey").alias("part"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clean
 from ..operators import cascade, difficulty, expect, joins, neighbors, peers, timeline
 from ..sources import tables
+from ..sources.scratch import kept
 from . import binding, planning
 from .binding import TERM, TIMELINE
 
@@ -68,21 +69,43 @@ def neighbor_history(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def recommend(spark: SparkSession, sf_dir: str, n_plans: int = 500, k: int = 5) -> DataFrame:
-    """The best plans of every entity: candidates scored by frozen statistics, evidence of nearest entities, composite rank."""
+    """The best plans of every entity.
+
+    Candidates are scored by frozen statistics; plans are combinations of them.
+    Each plan is rescored as such: its items' peers are the plan's other items
+    (``planning.rescored``), and an item's chance falls with their mean
+    difficulty.  Evidence comes from the nearest entities by the first known of
+    cumulative and last value: their failures, and the marks of those of their
+    periods whose items cover half of the plan.
+    """
     rows = binding.attempted(spark, sf_dir)
     state = difficulty.fit(rows)
-    snapshot = timeline.latest_by(binding.terms(spark, sf_dir), ["entity"], [F.col("period").desc(), F.col("program")])
+    terms = kept(binding.history(spark, sf_dir), "terms")
+    snapshot = timeline.latest_by(terms, ["entity"], [F.col("period").desc(), F.col("program")])
+    value, source = neighbors.query_value([("cumulative", F.col("last_valid")), ("period", F.col("gpa"))])
+    snapshot = snapshot.withColumn("position", value).withColumn("position_source", source)
     options = rows.select("entity", "item", "category", "credits", "unit").distinct()
     frame = planning.candidate_frame(snapshot.select("entity", "program", "period", "gpa"), options, rows, "entity", "item", "period", "credits")
-    scored = difficulty.apply_state(frame, state).select("entity", "program", "item", "credits", F.col("pass_rate").alias("pass_prob"), F.col("mean_mark").alias("pred_mark"))
-    scored = joins.range_lookup(scored, "pred_mark", binding.grade_scale(spark), "low", {"points": "points"}, (0, 100)).withColumn("points", F.col("points") / 100)
-    plans = planning.candidate_plans(scored, "entity", "item", "credits", "pass_prob", n_plans)
-    points = neighbors.latest_positions(binding.terms(spark, sf_dir).where("gpa > 0"), ["program"], "entity", "period", "gpa")
-    near = neighbors.nearest_1d(snapshot.select("program", "entity", "gpa").withColumn("query", F.col("entity")), points, ["program"], "gpa", "query", "entity", "period")
+    scored = difficulty.apply_state(frame, state).select("entity", "program", "item", "category", "credits", "is_weak", F.col("pass_rate").alias("pass_prob"), F.col("mean_mark").alias("pred_mark"))
+    scored = kept(scored, "scored")
+    plans = kept(planning.candidate_plans(scored, "entity", "item", "credits", "pass_prob", n_plans), "plans")
+
+    points = neighbors.latest_positions(terms.where("gpa > 0"), ["program"], "entity", "period", "gpa")
+    asked = snapshot.select("program", "entity", F.col("position").alias("gpa"), F.col("entity").alias("query"))
+    near = kept(neighbors.nearest_1d(asked, points, ["program"], "gpa", "query", "entity", "period"), "near")
     facts = points.select("program", F.col("entity").alias("neighbor_entity"), (F.col("pass_credits") < F.col("reg_credits")).cast("int").alias("failed"))
     evidence = neighbors.predict(near, facts, ["program", "neighbor_entity"], ["query"], ["failed"], []).select(F.col("query").alias("entity"), "p_failed", "support")
-    each = plans.withColumn("item", F.explode("items")).join(scored, ["entity", "item"]).join(evidence, "entity", "left")
-    ranked = planning.score_plans(each, ["entity", "plan_id"], "points", "pass_prob", "credits", F.lit(60.0), planning.knn_bonus(F.col("p_failed"), F.lit(None).cast("double")))
+    taken = rows.groupBy("program", F.col("entity").alias("neighbor_entity"), F.col("period").alias("neighbor_period")).agg(F.collect_set("item").alias("g"), F.avg("mark").alias("m"))
+    groups = neighbors.neighbor_items(near, taken, ["program", "neighbor_entity", "neighbor_period"]).select(F.col("query").alias("entity"), "g", "m")
+    similar = neighbors.overlap_evidence(plans, groups, ["entity"], "plan_id", "items", "g", "m")
+
+    each = plans.withColumn("item", F.explode("items")).join(scored, ["entity", "item"])
+    each = planning.rescored(each, ["entity", "plan_id"], "pass_prob", "is_weak", "category", "credits")
+    each = planning.with_peers(each, "pass_prob", "pred_mark")
+    each = joins.range_lookup(each, "pred_mark", binding.grade_scale(spark), "low", {"points": "points"}, (0, 100)).withColumn("points", F.col("points") / 100)
+    each = each.join(evidence, "entity", "left").join(similar, ["entity", "plan_id"], "left")
+    bonus = planning.knn_bonus(F.col("p_failed"), F.col("similar_mark") / 100)
+    ranked = planning.score_plans(each, ["entity", "plan_id"], "points", "pass_prob", "credits", F.lit(60.0), bonus)
     return planning.best_plans(ranked, "entity", k).join(plans, ["entity", "plan_id"])
 
 

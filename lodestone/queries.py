@@ -23,7 +23,7 @@ enrol AS (
          CAST(year(o_orderdate) * 10 + quarter(o_orderdate) AS INTEGER) AS period, p_brand || '/' || p_type AS item, p_type AS category,
          CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) AS brand, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) % 4 + 1 AS credits,
          CAST(l_quantity * 2 AS INTEGER) AS mark, l_returnflag AS flag, l_linenumber AS line,
-         CAST((l_partkey * 7 + l_suppkey * 3 + CAST(l_quantity AS BIGINT) * 2) % 101 AS INTEGER) AS score100
+         CAST((l_partkey * 7 + l_suppkey * 3 + CAST(l_quantity AS BIGINT) * 2) % 101 AS INTEGER) AS score100, l_partkey AS part
   FROM l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey),
 graded AS (
   SELECT *, CASE WHEN mark < 50 THEN 0 WHEN mark < 55 THEN 150 WHEN mark < 60 THEN 175 WHEN mark < 65 THEN 200 WHEN mark < 70 THEN 225 WHEN mark < 75 THEN 250
@@ -237,12 +237,12 @@ def outcome_mapping(spark, sf):
 
 
 @query(
-    """x AS (SELECT entity, count(*) AS n, CAST(sum(CASE WHEN mark >= 90 THEN 1 ELSE 0 END) AS BIGINT) AS good FROM enrol WHERE entity % 5 = 0 GROUP BY entity, period),
+    """x AS (SELECT entity, count(*) AS n, CAST(sum(CASE WHEN mark >= 90 THEN 1 ELSE 0 END) AS BIGINT) AS good FROM enrol GROUP BY entity, period),
 y AS (SELECT entity, CASE WHEN entity % 35 = 0 THEN 'status' WHEN n <= 1 AND count(*) OVER (PARTITION BY entity) = 1 THEN 'single_idle' END AS r FROM x)
 SELECT entity, coalesce(r, 'kept') AS reject_reason, count(*) AS n FROM y GROUP BY ALL"""
 )
 def snapshot_cascade(spark, sf):
-    x = binding.enrolment(spark, sf).where("entity % 5 = 0").groupBy("entity", "period").agg((F.count("*") - 1).alias("n"))
+    x = binding.enrolment(spark, sf).groupBy("entity", "period").agg((F.count("*") - 1).alias("n"))
     x = x.withColumn("program", F.lit(1)).withColumn("status", F.when(F.col("entity") % 35 == 0, "X").otherwise("A"))
     out = cascade.cascade(x, cascade.snapshot_rules("entity", "program", "status", ["X"], ["n"], ["period"]))
     return out.groupBy("entity", F.coalesce("reject_reason", F.lit("kept")).alias("reject_reason")).agg(F.count("*").alias("n"))
@@ -378,23 +378,22 @@ def multiset_diff(spark, sf):
 
 
 @query(
-    """s AS (SELECT DISTINCT program, item FROM enrol WHERE mark >= 98), z AS (SELECT program, count(*) AS n FROM s GROUP BY program),
+    """s AS (SELECT DISTINCT program, part AS item FROM enrol), z AS (SELECT program, count(*) AS n FROM s GROUP BY program),
 p AS (SELECT x.program AS a, y.program AS b, count(*) AS shared FROM s x JOIN s y ON x.item = y.item AND x.program < y.program GROUP BY ALL),
 d AS (SELECT a, b, shared FROM p UNION ALL SELECT b, a, shared FROM p), r AS (SELECT d.a AS program, d.b AS other, shared, round(shared / (za.n + zb.n - shared)::DOUBLE, 6) AS jaccard, round(shared / least(za.n, zb.n)::DOUBLE, 6) AS containment FROM d JOIN z za ON za.program = a JOIN z zb ON zb.program = b WHERE shared >= 5)
 SELECT program, other, shared, jaccard, containment, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY program ORDER BY containment DESC, jaccard DESC, other) AS k FROM r) WHERE k <= 3"""
 )
 def program_lineage(spark, sf):
-    e = binding.enrolment(spark, sf).where("mark >= 98")
-    out = matching.lineage_ranking(e, "program", "item")
+    out = matching.lineage_ranking(binding.enrolment(spark, sf), "program", "part")
     return out.select("program", "other", "shared", *r6("jaccard", "containment"), "rank")
 
 
 @query(
-    """r AS (SELECT DISTINCT entity, category FROM enrol WHERE mark >= 90)
+    """r AS (SELECT DISTINCT entity, category FROM enrol)
 SELECT x.category AS a, y.category AS b, count(*) AS n FROM r x JOIN r y ON x.entity = y.entity AND x.category < y.category GROUP BY ALL HAVING count(*) >= 5"""
 )
 def migration_selfjoin(spark, sf):
-    return joins.migrations(binding.enrolment(spark, sf).where("mark >= 90"), "entity", "category")
+    return joins.migrations(binding.enrolment(spark, sf), "entity", "category")
 
 
 @query(
@@ -766,23 +765,23 @@ _POINTS = "pts AS (SELECT program, entity, period, gpa, n_items, reg_credits, pa
 
 @query(
     f"""{_POINTS}, d AS (SELECT q.program, q.entity, p.entity AS neighbor_entity, p.period AS neighbor_period, round(abs(p.gpa - q.gpa), 6) AS distance, row_number() OVER (PARTITION BY q.program, q.entity ORDER BY abs(p.gpa - q.gpa), p.period, p.entity) AS rank
-FROM pts q JOIN pts p ON p.program = q.program AND p.entity <> q.entity WHERE q.entity % 10 = 0) SELECT program, entity, neighbor_entity, neighbor_period, distance, CAST(rank AS INTEGER) AS rank FROM d WHERE rank <= 5"""
+FROM pts q JOIN pts p ON p.program = q.program AND p.entity <> q.entity) SELECT program, entity, neighbor_entity, neighbor_period, distance, CAST(rank AS INTEGER) AS rank FROM d WHERE rank <= 5"""
 )
 def knn_1d_topk(spark, sf):
     p = _points(spark, sf)
-    q = p.where("entity % 10 = 0").withColumn("query", F.col("entity"))
+    q = p.withColumn("query", F.col("entity"))
     out = neighbors.nearest_1d(q, p, ["program"], "gpa", "query", "entity", "period", 5)
     return out.select("program", F.col("query").alias("entity"), "neighbor_entity", "neighbor_period", *r6("distance"), "rank")
 
 
 @query(
     f"""{_POINTS}, d AS (SELECT q.program, q.entity, abs(p.gpa - q.gpa) AS distance, p.n_items, CAST(p.pass_credits < p.reg_credits AS INTEGER) AS failed, row_number() OVER (PARTITION BY q.program, q.entity ORDER BY abs(p.gpa - q.gpa), p.period, p.entity) AS rank
-FROM pts q JOIN pts p ON p.program = q.program AND p.entity <> q.entity WHERE q.entity % 10 = 0)
+FROM pts q JOIN pts p ON p.program = q.program AND p.entity <> q.entity)
 SELECT program, entity, count(*) AS support, round(median(round(distance, 4)), 6) AS median_distance, round(avg(failed), 6) AS p_failed, round(avg(n_items), 6) AS mean_n_items, CAST(avg(failed) > 0.5 AS INTEGER) AS class_failed, CAST(count(*) >= 20 AS INTEGER) AS full_k FROM d WHERE rank <= 20 GROUP BY ALL"""
 )
 def knn_level_predict(spark, sf):
     p = _points(spark, sf)
-    q = p.where("entity % 10 = 0").withColumn("query", F.col("entity"))
+    q = p.withColumn("query", F.col("entity"))
     near = neighbors.nearest_1d(q, p, ["program"], "gpa", "query", "entity", "period", 20).withColumn("distance", F.round("distance", 4))
     facts = p.select("program", F.col("entity").alias("neighbor_entity"), (F.col("pass_credits") < F.col("reg_credits")).cast("int").alias("failed"), "n_items")
     out = neighbors.predict(near, facts, ["program", "neighbor_entity"], ["program", "query"], ["failed"], ["n_items"])
@@ -812,13 +811,13 @@ def plan_enumerate(spark, sf):
 
 
 @query(
-    """g AS (SELECT entity, period, CAST(sum(credits) AS DOUBLE) AS credits, sum(points / 100.0::DOUBLE * credits) / sum(credits) AS ep, sum(score100 / 100.0::DOUBLE * credits) / sum(credits) AS mp, min(score100) / 100.0::DOUBLE AS mn, count(*) AS n_items FROM graded WHERE entity % 10 = 0 GROUP BY ALL),
+    """g AS (SELECT entity, period, CAST(sum(credits) AS DOUBLE) AS credits, sum(points / 100.0::DOUBLE * credits) / sum(credits) AS ep, sum(score100 / 100.0::DOUBLE * credits) / sum(credits) AS mp, min(score100) / 100.0::DOUBLE AS mn, count(*) AS n_items FROM graded GROUP BY ALL),
 x AS (SELECT *, 1 - 0.6::DOUBLE * mp - 0.4::DOUBLE * mn AS risk, least(credits / 25, 1.0::DOUBLE) AS workload, least(credits / 60, 1.0::DOUBLE) AS progress FROM g),
 y AS (SELECT *, 0.4::DOUBLE * ep / 4 - 0.3::DOUBLE * risk + 0.2::DOUBLE * (1 - workload * 0.5::DOUBLE) + 0.1::DOUBLE * progress + 0.05::DOUBLE AS composite FROM x)
 SELECT entity, period, n_items, credits, round(ep, 6) AS expected_points, round(risk, 6) AS risk, round(workload, 6) AS workload, round(progress, 6) AS progress, round(composite, 6) AS composite FROM y"""
 )
 def plan_score(spark, sf):
-    g = binding.graded(spark, sf).where("entity % 10 = 0").withColumn("ep", F.col("points") / 100.0).withColumn("p", F.col("score100") / 100.0)
+    g = binding.graded(spark, sf).withColumn("ep", F.col("points") / 100.0).withColumn("p", F.col("score100") / 100.0)
     s = planning.score_plans(g, ["entity", "period"], "ep", "p", "credits", F.lit(60.0), planning.knn_bonus(F.lit(0.1), F.lit(None)))
     return s.select("entity", "period", "n_items", "credits", *r6("expected_points", "risk", "workload", "progress", "composite"))
 
@@ -831,14 +830,14 @@ def recommend_plans(spark, sf):
 
 
 @query(
-    """pl AS (SELECT entity AS plan_id, list_sort(list(DISTINCT category)) AS items FROM enrol WHERE entity % 5 = 0 AND mark >= 90 GROUP BY entity), gr AS (SELECT list(DISTINCT category) AS g, avg(mark) AS m FROM enrol WHERE entity % 97 = 1 GROUP BY entity, period),
-x AS (SELECT plan_id, len(list_intersect(items, g)) / len(items)::DOUBLE AS s, m FROM pl, gr) SELECT plan_id, round(avg(m) FILTER (WHERE s >= 0.5), 6) AS similar_mark, count(*) FILTER (WHERE s >= 0.5) AS similar FROM x GROUP BY plan_id"""
+    """pl AS (SELECT entity, period AS plan_id, list_sort(list(DISTINCT category)) AS items FROM enrol GROUP BY entity, period), gr AS (SELECT entity, period, list(DISTINCT category) AS g, avg(mark) AS m FROM enrol GROUP BY entity, period),
+x AS (SELECT pl.entity, plan_id, len(list_intersect(items, g)) / len(items)::DOUBLE AS s, m FROM pl LEFT JOIN gr ON gr.entity = pl.entity AND gr.period < plan_id) SELECT entity, plan_id, round(avg(m) FILTER (WHERE s >= 0.5), 6) AS similar_mark, count(*) FILTER (WHERE s >= 0.5) AS similar FROM x GROUP BY entity, plan_id"""
 )
 def plan_overlap(spark, sf):
     e = binding.enrolment(spark, sf)
-    plans = e.where("entity % 5 = 0 and mark >= 90").groupBy(F.col("entity").alias("plan_id")).agg(F.array_sort(F.collect_set("category")).alias("items"))
-    groups = e.where("entity % 97 = 1").groupBy("entity", "period").agg(F.collect_set("category").alias("g"), F.avg("mark").alias("m"))
-    return neighbors.overlap_evidence(plans, groups, "plan_id", "items", "g", "m").withColumn("similar_mark", F.round("similar_mark", 6))
+    groups = e.groupBy("entity", "period").agg(F.array_sort(F.collect_set("category")).alias("g"), F.avg("mark").alias("m"))
+    plans = groups.select("entity", F.col("period").alias("plan_id"), F.col("g").alias("items"))
+    return neighbors.overlap_evidence(plans, groups, ["entity"], "plan_id", "items", "g", "m", allowed=F.col("period") < F.col("plan_id")).withColumn("similar_mark", F.round("similar_mark", 6))
 
 
 # Entity matching
@@ -863,34 +862,33 @@ def token_overlap_join(spark, sf):
     return joins.theta_candidates(new, new, "words", text.token_jaccard(F.col("name"), F.col("old_name")), 0.3).withColumn("score", F.round("score", 6))
 
 
-@query(
-    """e AS (SELECT DISTINCT l_orderkey % 997 AS a, 1000 + l_partkey % 211 AS b FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1 AND l_discount = 0.05), both_ways AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
-r AS (WITH RECURSIVE t(node, reach) AS (SELECT u, u FROM both_ways UNION SELECT t.node, x.v FROM t JOIN both_ways x ON x.u = t.reach) SELECT node, min(reach) AS component FROM t GROUP BY node) SELECT * FROM r""".replace("e AS", "WITH e AS", 1),
-    base=False,
-)
+@query()
 def split_merge_components(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_quantity = 50 and l_linenumber = 1 and l_discount = 0.05")
-    return matching.components(li.select((F.col("l_orderkey") % 997).alias("a"), (F.col("l_partkey") % 211 + 1000).alias("b")).distinct(), "a", "b")
+    """Orders and (negative) parts that lines link; a recursive query over all lines is too slow, the tests use brute force."""
+    li = table(spark, sf, "lineitem")
+    return matching.components(li.select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey") - 1).alias("b")), "a", "b")
 
 
 @query(
-    """s AS (SELECT item, list_sort(list(DISTINCT program || '.' || unit)) AS p FROM enrol WHERE mark >= 98 GROUP BY item), x AS (SELECT a.item AS a, b.item AS b, a.p AS pa, b.p AS pb FROM s a JOIN s b ON a.item < b.item AND split_part(a.item, '/', 2) = split_part(b.item, '/', 2))
+    """s AS (SELECT part, list_sort(list(DISTINCT program || '.' || unit)) AS p FROM enrol GROUP BY part), k AS (SELECT s.*, p_brand, p_type, p_size FROM s JOIN part ON p_partkey = s.part),
+x AS (SELECT a.part AS a, b.part AS b, a.p AS pa, b.p AS pb FROM k a JOIN k b ON a.part < b.part AND a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size)
 SELECT a, b, CASE WHEN pa = pb AND len(pa) = 1 THEN 'SAME_SINGLE' WHEN pa = pb THEN 'SAME_MULTIPLE' WHEN list_has_any(pa, pb) THEN 'PARTIAL_OVERLAP'
   WHEN list_has_any(list_transform(pa, lambda v: split_part(v, '.', 2)), list_transform(pb, lambda v: split_part(v, '.', 2))) THEN 'SAME_UNIVERSITY_DIFFERENT' ELSE 'DIFFERENT_UNIVERSITY' END AS relation FROM x"""
 )
 def set_relations(spark, sf):
-    e = binding.enrolment(spark, sf).where("mark >= 98").withColumn("p", F.concat_ws(".", F.col("program").cast("string"), F.col("unit").cast("string")))
-    s = matching.set_profiles(e, "item", ["p"]).withColumn("t", F.substring_index("item", "/", -1))
-    x, y = s.select(F.col("item").alias("a"), F.col("p").alias("pa"), "t"), s.select(F.col("item").alias("b"), F.col("p").alias("pb"), "t")
-    return x.join(y, "t").where("a < b").select("a", "b", matching.set_relation(F.col("pa"), F.col("pb")).alias("relation"))
+    e = binding.enrolment(spark, sf).withColumn("p", F.concat_ws(".", F.col("program").cast("string"), F.col("unit").cast("string")))
+    same = ["p_brand", "p_type", "p_size"]
+    s = matching.set_profiles(e, "part", ["p"]).join(table(spark, sf, "part").select(F.col("p_partkey").alias("part"), *same), "part")
+    x, y = s.select(F.col("part").alias("a"), F.col("p").alias("pa"), *same), s.select(F.col("part").alias("b"), F.col("p").alias("pb"), *same)
+    return x.join(y, same).where("a < b").select("a", "b", matching.set_relation(F.col("pa"), F.col("pb")).alias("relation"))
 
 
 @query(
-    """k AS (SELECT DISTINCT category AS new, brand AS old FROM enrol WHERE mark = 100 AND line = 1 AND entity % 7 = 0), o AS (SELECT new, count(*) AS n FROM k GROUP BY new), w AS (SELECT old, count(*) AS n FROM k GROUP BY old)
+    """k AS (SELECT DISTINCT part AS new, entity AS old FROM enrol), o AS (SELECT new, count(*) AS n FROM k GROUP BY new), w AS (SELECT old, count(*) AS n FROM k GROUP BY old)
 SELECT k.new, k.old, CASE WHEN o.n > 1 THEN 'N' ELSE '1' END || ':' || CASE WHEN w.n > 1 THEN CASE WHEN o.n > 1 THEN 'M' ELSE 'N' END ELSE '1' END AS shape FROM k JOIN o ON o.new = k.new JOIN w ON w.old = k.old"""
 )
 def mapping_shapes(spark, sf):
-    links = binding.enrolment(spark, sf).where("mark = 100 and line = 1 and entity % 7 = 0").select(F.col("category").alias("new"), F.col("brand").alias("old"))
+    links = binding.enrolment(spark, sf).select(F.col("part").alias("new"), F.col("entity").alias("old"))
     return matching.mapping_shape(links, "new", "old")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..operators import parity
 from ..operators.expect import ExpectationError
+from .extractions import EXTRACTIONS
 
 
 def _fs(spark: SparkSession, path: str):
@@ -45,13 +46,19 @@ def read_jdbc(spark: SparkSession, url: str, query: str, user: str | None = None
     return df.toDF(*[c.lower() for c in df.columns])
 
 
-def extraction_query(table: str, columns: Sequence[str], where: dict[str, str] | None = None, order: str | None = None) -> str:
+def extraction_query(table: str, columns: Sequence[str], where: dict[str, str] | None = None, order: str | Sequence[str] = ()) -> str:
     """Projection and equality filters over one view."""
-    for name in (table, *columns, *(where or {}), *([order] if order else [])):
+    order = [order] if isinstance(order, str) else list(order or ())
+    for name in (table, *columns, *(where or {}), *order):
         if not re.fullmatch(r"[A-Za-z_][\w.$]*", name):
             raise ValueError(f"not a name: {name}")
     cond = " AND ".join(f"{k} = '{v.replace(chr(39), chr(39) * 2)}'" for k, v in (where or {}).items())
-    return f"SELECT {', '.join(columns) or '*'} FROM {table}" + (f" WHERE {cond}" if cond else "") + (f" ORDER BY {order}" if order else "")
+    return f"SELECT {', '.join(columns) or '*'} FROM {table}" + (f" WHERE {cond}" if cond else "") + (f" ORDER BY {', '.join(order)}" if order else "")
+
+
+def extract(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
+    """One of the declared extractions, read from a database."""
+    return read_jdbc(spark, url, extraction_query(*EXTRACTIONS[name]), **options)
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where_in: tuple[str, Sequence] | None = None, schema: StructType | str | None = None) -> DataFrame:
@@ -137,6 +144,36 @@ def load_state(spark: SparkSession, path: str, version: str) -> tuple[DataFrame,
     return state, meta["params"]
 
 
+def save_neighbors(points: DataFrame, path: str, version: str, route: Sequence[str], value: str, k: int) -> None:
+    """The points of a neighbour search, and how it is asked."""
+    write_table(points, path, {"version": version, "params": {"route": list(route), "value": value, "k": k}, "columns": points.columns})
+
+
+def load_neighbors(spark: SparkSession, path: str, version: str) -> tuple[DataFrame, dict]:
+    return _versioned(spark, path, version)
+
+
+def _versioned(spark: SparkSession, path: str, version: str) -> tuple[DataFrame, dict]:
+    meta = read_metadata(spark, path)
+    if meta["version"] != version:
+        raise ValueError(f"{path} has version {meta['version']}, not {version}")
+    return spark.read.parquet(path).select(*meta["columns"]), meta["params"]
+
+
+def save_scale(scale: DataFrame, path: str, version: str, source: str) -> None:
+    """A grade scale or bucket map, with its source and a digest of its rows; at most a few hundred rows."""
+    rows = sorted(json.dumps(r.asDict(), sort_keys=True, default=str) for r in scale.limit(10_000).collect())
+    write_table(scale, path, {"version": version, "params": {"source": source, "digest": hashlib.sha256("\n".join(rows).encode()).hexdigest()}, "columns": scale.columns})
+
+
+def load_scale(spark: SparkSession, path: str, version: str) -> tuple[DataFrame, dict]:
+    scale, params = _versioned(spark, path, version)
+    rows = sorted(json.dumps(r.asDict(), sort_keys=True, default=str) for r in scale.limit(10_000).collect())
+    if hashlib.sha256("\n".join(rows).encode()).hexdigest() != params["digest"]:
+        raise ExpectationError(f"{path}: rows differ from those that were saved")
+    return scale, params
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 

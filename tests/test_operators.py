@@ -1,6 +1,7 @@
 """Operators on hand-worked frames, against brute force, and by what must not change."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -257,7 +258,18 @@ def test_tables(spark, tmp_path):
     with pytest.raises(expect.ExpectationError):
         tables.verify_written(spark, path, df.withColumn("v", F.lit("z")))
     got = tables.read_table(spark, path, ["id"], ("id", [2]))
-    assert [r.id for r in got.collect()] == [2] and "In(id" in got._jdf.queryExecution().toString() or got.count() == 1
+    assert [r.id for r in got.collect()] == [2]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^]]*\bid\b", plan) and "ReadSchema: struct<id:bigint>" in plan
+    tables.write_csv(df.where("id = 1"), str(tmp_path / "c.csv"))
+    assert [(r.id, r.v) for r in tables.read_table(spark, str(tmp_path / "c.csv")).collect()] in ([("1", "a")], [(1, "a")])
+    board = str(tmp_path / "board")
+    for _ in range(2):
+        tables.append_rows(df, board)
+    assert spark.read.parquet(board).count() == 4
+    with pytest.raises(expect.ExpectationError):
+        tables.append_rows(df.withColumn("more", F.lit(1)), board)
+    assert tables.params_digest({"a": 1, "b": 2}) == tables.params_digest({"b": 2, "a": 1}) != tables.params_digest({"a": 2})
     with pytest.raises(FileNotFoundError):
         tables.require_inputs(spark, str(tmp_path / "none"))
     wide = tables.add_columns(df, spark.createDataFrame([(1, "n", 5)], "id long, v string, w int"), ["id"])
