@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 #: A side of a join is broadcast up to this many rows of a few fixed-width columns.
 BROADCAST_ROWS = 200_000
 
+#: Of a batch of rows that a Python worker gets.
+BATCH_BYTES = 4 << 20
+
 _OWN_DIRS: dict[str, str] = {}
 
 
@@ -40,6 +45,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of rows for Python workers hold ``BATCH_BYTES`` at most, or what the session says if that is less; set for this time only.
+
+    Batches of 10,000 whole texts otherwise grow the memory of the JVM outside
+    its heap, and of the workers.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key, None)
+    if old is None or not old.isdigit() or int(old) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -47,7 +72,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     loss of an executor read the same files.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with bounded_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

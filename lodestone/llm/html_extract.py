@@ -561,4 +561,4 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(16)))
         dealt = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
         joined = rows.join(dealt, ["host", "salt"], "left")
-    return joined.select("page_id", "url", "html", "rule").mapInPandas(texts, "page_id long, url string, text string, n_chars long")
+    return saved(joined.select("page_id", "url", "html", "rule").mapInPandas(texts, "page_id long, url string, text string, n_chars long"), "page-texts")

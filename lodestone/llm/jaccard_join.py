@@ -343,8 +343,9 @@ def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     named = rows.join(sets, "skey").groupBy("doc_id", "tkey", "component", "class_id").agg(F.count("*").alias("n"))
     first = F.col("doc_id").eqNullSafe(F.col("class_id"))
     # ids may repeat: of the texts of a class with its id, the first by hash stays
-    best = named.where(first).groupBy("component").agg(F.min("tkey").alias("best"))
-    named = saved(named.join(best, "component", "left").select("doc_id", "tkey", "n", (first & (F.col("tkey") == F.col("best"))).alias("stays")), "named")
+    named = saved(named, "class-members")
+    best = saved(named.where(first).groupBy("component").agg(F.min("tkey").alias("best")), "class-firsts")
+    named = saved(hot_join(named, best, "component").select("doc_id", "tkey", "n", (first & (F.col("tkey") == F.col("best"))).alias("stays")), "named")
     named = named.withColumn("stays", F.coalesce("stays", F.col("doc_id").isNull()))
     key = lambda d: d.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"))
     gone, twice = named.where(~F.col("stays")), named.where(F.col("stays") & (F.col("n") > 1))

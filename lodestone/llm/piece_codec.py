@@ -439,7 +439,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, chunk: int = CHUN
     schema = "doc_id long, ids binary"
     parts = _giant_parts(giant, path, chunk)
     joined = _joined(parts, lambda acc, x: (*acc, x.ids), (), lambda doc, acc: (doc, b"".join(acc)), schema, ["doc_id", "ids"])
-    return small.mapInPandas(whole, schema).unionByName(joined)
+    return saved(small.mapInPandas(whole, schema).unionByName(joined), "codec")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -502,4 +502,4 @@ def codec_report(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -
     add = lambda acc, x: (acc[0] + x.n, acc[1] + x.n_ids, crc_joined(acc[2], x.crc, 4 * x.n_ids), acc[3] and x.same)
     # the mark in front is no character of the text
     joined = _joined(parts, add, (-1, 0, 0, True), lambda doc, acc: (doc, *acc), schema, columns)
-    return small.mapInPandas(whole, schema).unionByName(joined)
+    return saved(small.mapInPandas(whole, schema).unionByName(joined), "codec")

@@ -17,7 +17,7 @@ from array import array
 from functools import lru_cache
 
 #: Words, and pieces between blanks, that a worker remembers, and the longest that it does.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+CACHE_WORDS, CACHE_CHARS = 300_000, 48
 _WORD_END = b"\xff"
 #: Letters that have one code point, one lower case and no context: Latin without U+0130.
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-įı-ňŊ-ž]*")
