@@ -44,7 +44,7 @@ from .common import saved
 from .tokens import tokenizer_path
 
 MARK, CHUNK, BLOCK = "▁", 32_768, 256
-CACHE_WORDS, CACHE_CHARS = 200_000, 48  # words that a worker remembers (of late, and before), and the longest that it does
+CACHE_WORDS, CACHE_CHARS = 350_000, 48  # words that a worker remembers (of late, and before), and the longest that it does
 NONE = -np.inf
 
 
