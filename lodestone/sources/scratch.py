@@ -32,18 +32,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[sc.applicationId]
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
+
+
+def _store(spark: SparkSession):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again: what follows starts from the table, also when an executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{_own(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept_exists(spark: SparkSession) -> bool:
+    store, path = _store(spark)
+    return store.exists(path)
 
 
 def drop_kept(spark: SparkSession) -> None:
     """Delete this application's tables, once what was made of them is written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    store, path = _store(spark)
+    store.delete(path, True)
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

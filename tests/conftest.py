@@ -26,6 +26,10 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from lodestone.sources import scratch
+
+    scratch.drop_kept(session)
+    assert not scratch.kept_exists(session)
     session.stop()
 
 
