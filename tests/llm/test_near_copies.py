@@ -207,3 +207,29 @@ def test_near_vectors_around_a_common_mean(spark):
     assert len(links) > 1000
     assert sum(got.values()) >= 0.995 * sum(n)
     assert all(got[i] <= k for i, k in enumerate(n))
+
+
+def test_prefixes_are_shortened_by_what_was_found():
+    trees, least = 24, jaccard_join.forest_depth(0.8)
+    at = np.linspace(0.8, 1, jaccard_join.BINS, endpoint=False)
+    whole = [jaccard_join.MAX_DEPTH] * trees
+    near_one, near_threshold = np.eye(jaccard_join.BINS)[-1] * 1000, np.eye(jaccard_join.BINS)[0] * 1000
+    assert jaccard_join.measured_recall(near_one, at, whole) > jaccard_join.TARGET_RECALL
+    assert jaccard_join.measured_recall(near_threshold, at, whole) < 0.99
+    new = jaccard_join.shortened(near_threshold, at, whole, least, jaccard_join.TARGET_RECALL)
+    assert min(new) >= least and max(new) < jaccard_join.MAX_DEPTH
+    some = jaccard_join.shortened(near_one + near_threshold / 100, at, whole, least, jaccard_join.TARGET_RECALL)
+    assert sum(some) > sum(new)  # less is missed, so less is shortened
+    assert jaccard_join.shortened(np.zeros(jaccard_join.BINS), at, whole, least, 0.9999) == [jaccard_join.MAX_DEPTH - 1] * trees
+
+
+def test_labels_are_prefix_tries():
+    values = np.random.default_rng(5).integers(0, 2**63, (4, 192), dtype=np.uint64)
+    values[1, 6:8] = 1  # of the first tree, the first six values agree
+    values[1, :6] = values[0, :6]
+    keys = np.stack([jaccard_join.labels(v, 5, 24) for v in values]).view(np.uint64)
+    assert (keys >> np.uint64(59) == np.arange(24, dtype=np.uint64)).all()
+    assert keys[0, 0] >> np.uint64(16) == keys[1, 0] >> np.uint64(16) and keys[0, 0] != keys[1, 0]
+    assert (keys[0, 1:] >> np.uint64(24) != keys[1, 1:] >> np.uint64(24)).all()
+    with pytest.raises(ValueError):
+        jaccard_join.signed(None, 5, trees=33)
