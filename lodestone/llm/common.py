@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,22 @@ def bounded_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, old)
 
 
+def released(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``task``, a function of a Python worker from batches to batches, that gives Arrow's unused memory back at its end.
+
+    Workers are kept for later tasks, beside an executor whose JVM needs the room.
+    """
+
+    @wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 

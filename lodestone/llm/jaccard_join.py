@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, saved, sized
+from .common import hot_join, released, saved, sized
 from .components import connected_components
 from .tiles import FOUND, dealt, each_group, found_rows, pairs_of
 
@@ -163,7 +163,7 @@ def signed(docs: DataFrame, least: int, words: int = WORDS, trees: int = TREES,
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "tkey": b["tkey"], "skey": pd.Series(skeys, dtype=object, index=b.index), "keys": pd.Series(keys, dtype=object, index=b.index)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), F.col("text").alias("text"))
-    return rows.mapInPandas(sign, "doc_id long, tkey long, skey binary, keys array<long>")
+    return rows.mapInPandas(released(sign), "doc_id long, tkey long, skey binary, keys array<long>")
 
 
 def _new_pairs(tile: pd.DataFrame, i: np.ndarray, j: np.ndarray, before: np.ndarray | None, now: np.ndarray) -> np.ndarray:
@@ -239,7 +239,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, t
                         out.append((rid, found))
             yield pd.DataFrame(out, columns=["rid", "shingles"])
 
-    full = saved(texts.mapInPandas(sets, "rid long, shingles binary"), "compared-sets")
+    full = saved(texts.mapInPandas(released(sets), "rid long, shingles binary"), "compared-sets")
     narrow = compared.select("rid", "size", "keys")
 
     def nodes(depths: list[int]) -> DataFrame:

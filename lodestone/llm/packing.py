@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, sized
+from .common import released, saved, sized
 from .tokens import shared_ids, tokenizer_path
 
 CAPACITY = 2048
@@ -146,8 +146,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, path:
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
+        ids.forget()  # a text holds so many words of its own that the next task would learn most anew
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInPandas(released(cut), PIECES)
 
 
 def place(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -180,7 +181,7 @@ def place(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             out["offset"] = t[at, 4] + (k % t[at, 2]) * length
             yield out
 
-    return made.join(sized(starts), ["length", "part"]).mapInPandas(assign, PACKED)
+    return made.join(sized(starts), ["length", "part"]).mapInPandas(released(assign), PACKED)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, path: str | None = None) -> DataFrame:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 TILE = 512
 FOUND = "a long, b long, w long"
 
@@ -77,7 +79,7 @@ def each_group(rows: DataFrame, by: list[str], one: Callable[[pd.DataFrame], pd.
         if held and (o := one(pd.concat(held) if len(held) > 1 else held[0])) is not None:
             yield o
 
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInPandas(released(run), schema)
 
 
 def pairs_of(tile: pd.DataFrame, compare: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ from array import array
 from functools import lru_cache
 
 #: Words, and pieces between blanks, that a worker remembers, and the longest that it does.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+CACHE_WORDS, CACHE_CHARS = 100_000, 48
 _WORD_END = b"\xff"
 #: Letters that have one code point, one lower case and no context: Latin without U+0130.
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-įı-ňŊ-ž]*")
@@ -68,6 +68,10 @@ class _Cache(dict):
             self[word] = coded
         return coded
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 class PieceIds:
     """Ids of texts by a ``tokenizers`` file of the kind above.
@@ -87,7 +91,13 @@ class PieceIds:
         self.library, self.special = library, special
         self.words = _Cache(lambda word: array("I", merge(word.encode() + _WORD_END)).tobytes())
         words = self.words
-        self.pieces = _Cache(lambda piece: words[piece] if piece.isalpha() else b"".join([words[w] for w in _WORDS.findall(piece)]))
+
+        def learned(piece: str) -> bytes:
+            if piece.isalpha():  # one word: it is remembered as a piece, not as a word too
+                return words.get(piece) or words.learn(piece)
+            return b"".join([words[w] for w in _WORDS.findall(piece)])
+
+        self.pieces = _Cache(learned)
         self.others = _Cache(lambda piece: array("I", library.encode(piece, add_special_tokens=False).ids).tobytes())
 
     def one(self, text: str) -> bytes:
@@ -100,6 +110,11 @@ class PieceIds:
     def batch(self, texts: list[str]) -> list[bytes]:
         return [self.one(t) for t in texts]
 
+    def forget(self) -> None:
+        """Drop what was learned; the vocabulary stays."""
+        for cache in (self.words, self.pieces, self.others):
+            cache.forget()
+
 
 @lru_cache(maxsize=2)
 def shared_ids(path: str, special: bool = True) -> PieceIds:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import chat_format, packing, piece_codec, quality_rules, queries, secrets, token_counts, url_filter
-from lodestone.llm.tokens import PieceIds, tokenizer_path
+from lodestone.llm.tokens import PieceIds, shared_ids, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string"
 EDGE = [
@@ -93,6 +93,27 @@ def test_packing(spark, small, edge, none):
     assert packing.pack_documents(none).collect() == []
 
 
+def test_a_plain_word_is_remembered_once_and_forgotten():
+    ids = PieceIds(tokenizer_path("word_bpe_49k.json"))
+    first = ids.one("alpha beta, alpha")
+    assert "alpha" in ids.pieces and "alpha" not in ids.words and "beta" in ids.words
+    ids.forget()
+    assert not (ids.words or ids.pieces or ids.others or ids.words.older or ids.pieces.older)
+    assert ids.one("alpha beta, alpha") == first == np.array(ids.library.encode("alpha beta, alpha", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_workers_forget_words_after_packing(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(200)
+    packing.pack_documents(docs).count()
+    path = tokenizer_path("word_bpe_49k.json")
+
+    def kept(batches):
+        for b in batches:
+            yield b.assign(id=len(shared_ids(path).pieces))
+
+    assert {r[0] for r in spark.range(8, numPartitions=8).mapInPandas(kept, "id long").collect()} == {0}
+
+
 def test_short_way_equals_the_tokenizer_library():
     rng = random.Random(3)
     ids = PieceIds(tokenizer_path("word_bpe_49k.json"))
